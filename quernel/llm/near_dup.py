@@ -1,11 +1,11 @@
 """Problem 3: near-duplicate functions by a signature-coordinate inverted join.
 
 A function is the set of its word triples. Its signature has ``COORDS`` minima under different hash functions, and it
-is posted under each coordinate-value pair. Functions at similarity 0.6 agree in 19 of 32 coordinates on average and in
-fewer than ``MATCHES`` once in five hundred times. Lists are not merged in full: the pairs are put in one global order,
-rare ones first, and only the first COORDS - MATCHES + 1 of each signature are joined, since two signatures that agree
-in MATCHES places must agree in one of those; the long lists at the end are skipped and only looked up in the candidate's
-signature. Candidates with enough collisions are verified by their exact triples.
+is posted under each coordinate-value pair. Functions at similarity 0.6 agree in 12 of 20 coordinates on average and in
+fewer than ``MATCHES`` three times in ten thousand. Lists are not merged in full: the pairs are put in one global order,
+rare ones first, and only the first COORDS - MATCHES + MET of each signature are joined; two signatures that agree in
+MATCHES places agree in at least MET of those. The long lists at the end are skipped and only looked up in the
+candidate's signature. Candidates with enough collisions are verified by their exact triples.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from quernel.llm.tokens import strings
 from quernel.session import stage
 
-COORDS = 32
-MATCHES = 11
+COORDS = 20
+MATCHES = 5
+MET = 2  # collisions in the joined prefixes
 MIN_WORDS = 30
 THRESHOLD = 0.6
 SLOTS = 1 << 18  # counters of coordinate-value pairs; fixed, they only order the pairs
@@ -72,52 +73,54 @@ def triple_sets(texts: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarra
 
 
 def signatures(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Coordinate-value pairs as integers, one row for each text: the coordinate above the low 32 bits of value."""
-    out = np.empty((len(first) - 1, COORDS), np.int64)
+    """The value of every coordinate, one row for each text."""
+    out = np.empty((len(first) - 1, COORDS), np.uint32)
     for k in range(COORDS):
         v = (hashes * _SEEDS[0, k] + _SEEDS[1, k]) >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(v, first[:-1]).astype(np.int64) | (k << 32)
-    return out
+        out[:, k] = np.minimum.reduceat(v, first[:-1])
+    return out.view(np.int32)
 
 
 def _signed(chunks: DataFrame, min_words: int) -> DataFrame:
-    """id, cls (128 bits of the triple set), sig, triples (32 bits each) of every function and method row."""
+    """id, cls (128 bits of the triple set), key (the first 64 of them), sig and triples (32 bits each) of every function
+    and method row."""
 
     def run(batches):
         for batch in batches:
             index, first, t = triple_sets(strings(batch.column(1)), min_words)
-            sig = signatures(first, t) if len(index) else np.zeros((0, COORDS), np.int64)
+            sig = signatures(first, t) if len(index) else np.zeros((0, COORDS), np.int32)
             raw = t.tobytes()
             cls = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(index, pa.int64())),
                     pa.array(cls, pa.binary()),
+                    pa.array([int.from_bytes(c[:8], "little", signed=True) for c in cls], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(index) + 1) * COORDS, pa.int32()), pa.array(sig.ravel())),
                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array((t >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                 ],
-                ["id", "cls", "sig", "triples"],
+                ["id", "cls", "key", "sig", "triples"],
             )
 
     rows = chunks.where(F.col("kind").isin("function", "method") & F.col("code").isNotNull() & F.col("id").isNotNull())
-    return rows.select("id", "code").mapInArrow(run, "id string, cls binary, sig array<bigint>, triples array<int>")
+    return rows.select("id", "code").mapInArrow(run, "id string, cls binary, key bigint, sig array<int>, triples array<int>")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """cls and its rarest COORDS - MATCHES + 1 coordinate-value pairs."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    pairs = classes.select(F.explode("sig").alias("pair"))
-    counted = pairs.groupBy(slot("pair").alias("slot")).agg(F.count("*").alias("n"))
+    """key and its rarest COORDS - MATCHES + MET coordinate-value pairs, as the coordinate above 32 bits of value."""
+    pairs = classes.select(F.posexplode("sig").alias("k", "v"))
+    counted = pairs.groupBy(F.pmod(F.xxhash64("k", "v"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     # Only counters clearly above the mean tell long lists; at most 1 in 4 can be, and no row of the corpus is left out.
     mean = max(1.0, classes.count() * COORDS / SLOTS)
     long = {r.slot: r.n for r in counted.where(F.col("n") > 4 * mean + 8).collect()}
     weights = classes.sparkSession.sparkContext.broadcast(long)  # fewer than SLOTS / 4 entries whatever the corpus
+    width = COORDS - MATCHES + MET
 
     def run(batches):
         import pandas as pd
 
         for p in batches:
-            sig = np.array(list(p["sig"]), np.int64).reshape(len(p), COORDS)
+            sig = np.array(list(p["sig"]), np.int32).reshape(len(p), COORDS).view(np.uint32).astype(np.int64)
             slots = np.array(list(p["slots"]), np.int64).reshape(len(p), COORDS)
             known = weights.value
             n = np.zeros(slots.shape, np.int64)
@@ -125,31 +128,35 @@ def _prefixes(classes: DataFrame) -> DataFrame:
                 keys, counts = np.array(sorted(known)), np.array([known[x] for x in sorted(known)])
                 at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
                 n = np.where(keys[at] == slots, counts[at], 0)
-            order = np.lexsort((sig, _mix(sig.view(np.uint64)), n), axis=1)[:, : COORDS - MATCHES + 1]
-            yield pd.DataFrame({"cls": p["cls"], "prefix": list(np.take_along_axis(sig, order, axis=1))})
+            sig |= np.arange(COORDS, dtype=np.int64) << 32
+            order = np.lexsort((sig, _mix(sig.view(np.uint64)), n), axis=1)[:, :width]
+            yield pd.DataFrame({"key": p["key"], "prefix": list(np.take_along_axis(sig, order, axis=1))})
 
-    slots = F.transform("sig", slot)
-    return classes.select("cls", "sig", slots.alias("slots")).mapInPandas(run, "cls binary, prefix array<bigint>")
+    slots = F.transform("sig", lambda v, k: F.pmod(F.xxhash64(k, v), F.lit(SLOTS)).cast("int"))
+    return classes.select("key", "sig", slots.alias("slots")).mapInPandas(run, "key bigint, prefix array<bigint>")
 
 
 def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a < b and sim: classes whose triple sets have at least this similarity."""
-    posted = _prefixes(classes).select("cls", F.explode("prefix").alias("pair"))
-    a, b = posted.select(F.col("cls").alias("a"), "pair"), posted.select(F.col("cls").alias("b"), "pair")
-    met = a.join(b, "pair").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("triples").alias("ta"))
-    right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("triples").alias("tb"))
-    rows = met.join(left, "a").join(right, "b")
-    rows = rows.where(F.size(F.array_intersect("sa", "sb")) >= MATCHES)
+    """a < b and sim: classes whose triple sets have at least this similarity. Two classes with the same 64-bit key are
+    both looked at wherever the key was met, and the exact check parts them."""
+    posted = _prefixes(classes).select("key", F.explode("prefix").alias("pair"))
+    a, b = posted.select(F.col("key").alias("x"), "pair"), posted.select(F.col("key").alias("y"), "pair")
+    met = a.join(b, "pair").where(F.col("x") < F.col("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") >= MET).select("x", "y")
+    left = classes.select(F.col("key").alias("x"), F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("triples").alias("ta"))
+    right = classes.select(F.col("key").alias("y"), F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("triples").alias("tb"))
+    rows = met.join(left, "x").join(right, "y")
+    agree = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda n, z: n + z)
+    rows = rows.where(agree >= MATCHES)
     both = F.size(F.array_intersect("ta", "tb"))
     rows = rows.select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb")).alias("sizes"))
     sim = F.col("both") / (F.col("sizes") - F.col("both"))
-    return rows.select("a", "b", sim.alias("sim")).where(F.col("sim") >= threshold)
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), sim.alias("sim")).where(F.col("sim") >= threshold)
 
 
 def _classes(chunks: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
     rows = stage(_signed(chunks, min_words), "dup-signed")
-    classes = stage(rows.select("cls", "sig", "triples").dropDuplicates(["cls"]), "dup-classes")
+    classes = stage(rows.select("cls", "key", "sig", "triples").dropDuplicates(["cls"]), "dup-classes")
     return rows.select("id", "cls").distinct(), classes
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, near_dup, splitting, tokens, vector_knn
+from quernel.llm import mixing, near_dup, origin, splitting, tokens, vector_knn
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -41,6 +41,11 @@ SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM k WHERE s
 """
 
 
+@query()
+def p1_found(spark, sf_dir):
+    return origin.unwritten_files(table(spark, sf_dir, "chunks"))
+
+
 @query(P3_SQL)
 def p3_found(spark, sf_dir):
     return near_dup.similar_pairs(table(spark, sf_dir, "chunks"))
