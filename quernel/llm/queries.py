@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, near_dup, origin, splitting, tokens, vector_knn
+from quernel.llm import mixing, near_dup, origin, residue, splitting, tokens, vector_knn
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -105,3 +105,8 @@ def p9_mix(spark, sf_dir):
 @query()
 def p9_report(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p10_found(spark, sf_dir):
+    return residue.residue_documents(table(spark, sf_dir, "documents"))
