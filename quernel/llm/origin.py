@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.tokens import strings
+from quernel.session import stage
 
 LANGUAGES = {"py": 0, "js": 1, "mjs": 1, "cjs": 1, "jsx": 1, "ts": 2, "tsx": 2, "rs": 3, "go": 4, "java": 5}
 OTHER = 6
@@ -204,6 +205,7 @@ def file_scores(chunks: DataFrame) -> DataFrame:
     literal = F.col("literal") / F.greatest("size", F.lit(1))
     camel = F.col("camel") / F.greatest(F.col("camel") + F.col("snake"), F.lit(1))
     files = files.withColumns({"bits": bits, "short": short, "diversity": diversity, "literal": literal, "camel_share": camel, "ext": F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))})
+    files = stage(files, "origin-files")  # read three times below
     usual = files.groupBy("repo", "ext").agg((F.sum("camel") / F.greatest(F.sum(F.col("camel") + F.col("snake")), F.lit(1))).alias("usual"))
     norm = files.groupBy("ext").agg(F.percentile_approx("bits", 0.5).alias("usual_bits"))
     files = files.join(usual, ["repo", "ext"]).join(norm, "ext")
