@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, near_dup, origin, residue, splitting, tokens, vector_knn
+from quernel.llm import mixing, near_dup, origin, residue, secrets, splitting, tokens, vector_knn
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -110,3 +110,13 @@ def p9_report(spark, sf_dir):
 @query()
 def p10_found(spark, sf_dir):
     return residue.residue_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def p4_found(spark, sf_dir):
+    return secrets.secret_records(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "symbols"))
+
+
+@query()
+def p4_redacted(spark, sf_dir):
+    return secrets.secret_records(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "symbols"), redacted=True)
