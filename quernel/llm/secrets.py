@@ -24,7 +24,7 @@ MIN_LENGTH = 6
 
 #: Rows without any of these cannot hold a secret that the rules know.
 TRIGGER = (
-    r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic |://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|AIza|npm_|SG\.|eyJ|pypi-|hf_|sk-|dop_v1_|hooks\.slack"
+    r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic |://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|AIza|npm_|SG\.|eyJ|pypi-|hf_|dop_v1_|[a-z]{2,8}[-_](?:[0-9a-z]+[-_])*[A-Za-z0-9]{16}|xoxb|glpat|'AIza"
 )
 _NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|client[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|auth[_-]?key|deploy[_-]?key|service[_-]?key|session[_-]?key|hmac[_-]?key|storage[_-]?key|credentials?|authorization|auth|bearer|apikey)"
@@ -40,7 +40,7 @@ _KEYED = re.compile(
     # the name, perhaps quoted, in brackets or with a type; then = := : => or a call; then fallbacks of a setting
     rf"(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.-]*{_NAME}(?:[_-]?(?:b64|base64|value|str|string|key|default|raw|plain|old|new|prod|dev|live|\d+))?)(?P<tail>[A-Za-z0-9_-]*)"
     r"[\"'`\]]*\s*(?::\s*[&']?[\w<>\[\], .:&|?*']{1,40}?\s*(?==[^=]))?"
-    rf"(?P<op>:=|=>|==?=?|!==?|:|\(|,|\bis\b|\bto\b|>)\s*(?P<rest>[^\n]*)",
+    rf"(?P<op>:=|=>|==?=?|!==?|:|\(|,|\bis\b|\bto\b|>|(?<=\w)[ ](?=[A-Za-z0-9+/_.~@#$%^&*!?=-]{{10,}}(?:\s|$)))\s*(?P<rest>[^\n]*)",
     re.I,
 )
 _FALLBACK = re.compile(rf"(?:\|\||\?\?|\bor\b|unwrap_or(?:_else)?\(|getOrDefault\(|getenv\([^()]*,|get\([^()]*,|getProperty\([^()]*,|:-)\s*(?:\|_?\|\s*)?(?P<v>{_LITERAL})")
@@ -57,6 +57,9 @@ _VENDOR = re.compile(
     r"(?<![A-Za-z0-9_-])(?P<v>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|[srp]k_live_[A-Za-z0-9]{10,}"
     r"|AIza[A-Za-z0-9_-]{35}|npm_[A-Za-z0-9]{36}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|pypi-[A-Za-z0-9_-]{16,}|hf_[A-Za-z0-9]{30,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{32,}|dop_v1_[a-f0-9]{64})(?![A-Za-z0-9_-])"
 )
+#: Tokens of unknown vendors: a short prefix, perhaps an id, and a long random end in both cases.
+_TOKENISH = re.compile(r"(?<![\w-])(?P<v>(?!sha\d|md5|ssh|rsa|data|img|uuid|rev|v\d)[a-z]{2,8}[-_](?:[0-9a-z]{2,16}[-_]){0,3}(?=[A-Za-z0-9]*[a-z])(?=[A-Za-z0-9]*[A-Z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{16,})(?![\w-])")
+_JOINED = re.compile(rf"{_LITERAL}(?:\s*[+,]\s*{_LITERAL})+")
 _STEM = re.compile(r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[srp]k_live_|AIza|npm_|SG\.|eyJ|hf_)")
 _PLACEHOLDER = re.compile(
     r"(?i)^(?:[x*.#_?0•-]{3,}|(?:x{2,}[-_ ]?)+|.*(?:your|my|the|some|any|insert|enter|put|add|change|replace)[-_ ]?(?:own|this|me|it|here|key|token|secret|pass(?:word)?|api|value).*|.*[-_ ]here$|insert[-_].*|<.*>?|\[.*\]?|\(.*\)|.*\*{3,}.*|.*\.\.\.$"
@@ -97,6 +100,8 @@ def is_secret(v: str, password: bool, path: str = DEFAULT_FILE) -> bool:
                 return False
         except ValueError:
             pass
+    if _WORDS.match(v) and re.search(r"[ _./:,-]", v):  # a path or a compound of words and numbers
+        return False
     if ratio <= UNNATURAL and len(v) >= 8 and (kinds >= 2 or digit):
         return not (re.fullmatch(r"[\d.,:+-]+", v) or re.fullmatch(r"\W+", v))
     if _WORDS.match(v) and not password:
@@ -139,6 +144,18 @@ def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
         rest = _STEM.sub("", m.group("v"))
         if not _PLACEHOLDER.match(rest) and len(set(rest)) >= 6 and chars_per_subword([rest], path)[0] <= SOME_UNNATURAL:
             found.append(m.span("v"))
+    for m in _TOKENISH.finditer(code):
+        end = re.split(r"[-_]", m.group("v"))[-1]
+        if chars_per_subword([end], path)[0] <= UNNATURAL and not _PLACEHOLDER.match(m.group("v")):
+            found.append(m.span("v"))
+    for m in _JOINED.finditer(code):
+        if "," in re.sub(_LITERAL, "", m.group()) and not re.search(r"concat!?\s*\(\s*$", code[max(0, m.start() - 12) : m.start()]):
+            continue
+        spans = _literal_spans(m.group(), m.start())
+        v = value(spans)
+        hit = _VENDOR.fullmatch(v) or _TOKENISH.fullmatch(v)
+        if hit and not _PLACEHOLDER.match(v) and chars_per_subword([re.split(r"[-_]", v)[-1]], path)[0] <= SOME_UNNATURAL:
+            found += [x for x in spans if x[1] > x[0]]
     for m in _USERINFO.finditer(code):
         v = m.group("v")
         if not (_PLACEHOLDER.match(v) or _REFERENCE.match(v) or _SEALED.match(v)) and len(v) >= 4 and v.lower() != m.group("user").lower():
@@ -180,7 +197,7 @@ def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
                 spans = parts
             else:
                 spans = parts[:1]
-        elif op in ("=", ":", "is", "to", ">") or op == ":=":
+        elif op in ("=", ":", "is", "to", ">", ":=", " "):
             b = _BARE.match(rest, _SCHEME.match(rest).end() if _SCHEME.match(rest) else 0)
             if b and (op != ":" or rest[:1] != " " or not re.match(r"\w+\s*[=,){]|(?:the|a|an)\b", rest)):
                 word = b.group().rstrip(".")
@@ -189,13 +206,13 @@ def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
                     spans = [(start + b.start(), start + b.start() + len(word))]
                 elif re.fullmatch(r"[A-Za-z0-9_]{12,}", word) and after != "(":
                     spans = [(start + b.start(), start + b.start() + len(word))]
-        if spans and op in ("==", "===", "!=", "!=="):
-            spans = []
         if not spans:
             continue
         v = value(spans)
         sch = _SCHEME.match(v)
-        if is_secret(v, password and op not in ("to", ">", ","), path):
+        if op in (" ", "to") and chars_per_subword([v], path)[0] > UNNATURAL:
+            continue
+        if is_secret(v, password and op not in ("to", ">", ",", " "), path):
             if sch and len(spans) == 1:
                 spans = [(spans[0][0] + sch.end(), spans[0][1])]
             found += [s for s in spans if s[1] > s[0]]
