@@ -19,8 +19,17 @@ END, ANY = "END", "ANY_TOKEN"
 _BRACKETS = {"(", ")", "[", "]", "{", "}", END}
 
 
+class Node:
+    """A node of the graph-structured stack: where to go on, and the node below."""
+
+    __slots__ = ("back", "below")
+
+    def __init__(self, back: int, below):
+        self.back, self.below = back, below
+
+
 class Column:
-    """A chart column: descriptors that wait for a terminal."""
+    """A chart column: descriptors that stand behind the terminal just taken."""
 
     __slots__ = ("items", "after", "ends")
 
@@ -39,6 +48,7 @@ class Grammar:
             for k, s, _ in edges:
                 if k == "n" and s not in self.start_of:
                     raise ValueError(f"no rule {s}")
+        self.tables: list = [None] * len(self.edges)
         self.terminals = {s for edges in self.edges for k, s, _ in edges if k == "t"}
         self._pops = [self._only_pops(i) for i in range(len(self.edges))]
         self.start = start
@@ -47,7 +57,7 @@ class Grammar:
     def _reset(self):
         self.nodes: dict = {}
         self.columns: dict = {}
-        self.first = self._column([(self.start_of[self.start], None)])
+        self.first = self._column({(self.start_of[self.start], None)})
 
     # building
 
@@ -125,37 +135,45 @@ class Grammar:
 
     # chart
 
-    def _column(self, descriptors) -> Column | None:
-        seen, todo, items, ends = set(), list(descriptors), set(), False
+    def _table(self, state: int):
+        """(by terminal: next state and the calls entered on the way; whether the rule can end here)."""
+        got = self.tables[state]
+        if got is not None:
+            return got
+        table: dict[str, list[tuple[int, tuple[int, ...]]]] = {}
+        ends = False
+        seen, todo = set(), [(state, ())]
         while todo:
-            d = todo.pop()
-            if d in seen:
+            at = todo.pop()
+            if at in seen:
                 continue
-            seen.add(d)
-            state, node = d
-            if state in self.final:
-                if node is None:
-                    ends = True
+            seen.add(at)
+            s, calls = at
+            if s in self.final:
+                if calls:
+                    todo.append((calls[-1], calls[:-1]))
                 else:
-                    todo.append(node)
+                    ends = True
                 continue
-            waits = False
-            for kind, s, n in self.edges[state]:
+            for kind, x, n in self.edges[s]:
                 if kind == "e":
-                    todo.append((n, node))
+                    todo.append((n, calls))
                 elif kind == "n":
-                    if not self._pops[n]:
-                        frame = (n, node)
-                        todo.append((self.start_of[s], self.nodes.setdefault(frame, frame)))
-                    else:
-                        todo.append((self.start_of[s], node))
+                    todo.append((self.start_of[x], calls if self._pops[n] else (*calls, n)))
                 else:
-                    waits = True
-            if waits:
-                items.add(d)
-        if not items and not ends:
-            return None
-        key = (frozenset((s, id(n)) for s, n in items), ends)
+                    table.setdefault(x, []).append((n, calls))
+        got = self.tables[state] = (table, ends)
+        return got
+
+    def _column(self, items) -> Column:
+        ends = False
+        for state, node in items:
+            while self._table(state)[1]:
+                if node is None:
+                    ends = True
+                    break
+                state, node = node.back, node.below
+        key = frozenset((s, id(n)) for s, n in items)
         got = self.columns.get(key)
         if got is None:
             got = self.columns[key] = Column(tuple(items), ends)
@@ -168,12 +186,38 @@ class Grammar:
         except KeyError:
             pass
         loose = terminal not in _BRACKETS
-        nexts = [(n, node) for s, node in column.items for k, t, n in self.edges[s] if k == "t" and (t == terminal or loose and t == ANY)]
-        got = column.after[terminal] = self._column(nexts) if nexts else None
+        out, seen, nodes = set(), set(), self.nodes
+        for state, node in column.items:
+            while (state, node) not in seen:
+                seen.add((state, node))
+                table, ends = self._table(state)
+                for n, calls in (*table.get(terminal, ()), *(table.get(ANY, ()) if loose else ())):
+                    top = node
+                    for back in calls:
+                        key = (back, id(top))
+                        below = top
+                        top = nodes.get(key)
+                        if top is None:
+                            top = nodes[key] = Node(back, below)
+                    while self._pops[n] and top is not None:
+                        n, top = top.back, top.below
+                    out.add((n, top))
+                if not ends or node is None:
+                    break
+                state, node = node.back, node.below
+        got = column.after[terminal] = self._column(out) if out else None
         return got
 
     def takes(self, column: Column) -> set[str]:
-        return {t for s, _ in column.items for k, t, _ in self.edges[s] if k == "t"}
+        out: set[str] = set()
+        for state, node in column.items:
+            while True:
+                table, ends = self._table(state)
+                out.update(table)
+                if not ends or node is None:
+                    break
+                state, node = node.back, node.below
+        return out - {ANY}
 
     def trim(self):
         """Forget the interned columns when there are too many; called between files."""
@@ -186,7 +230,7 @@ class Grammar:
         def size(n):
             k = 0
             while n is not None:
-                n, k = n[1], k + 1
+                n, k = n.below, k + 1
             return k
 
         return min((size(n) for _, n in column.items), default=0)

@@ -86,7 +86,7 @@ expr0 = arrow | 'yield' '*'? expr? | lhs0 ASSIGN expr | lhs0 '=' expr | cond0 ;
 cond = bin ('?' expr ':' expr)? ;
 cond0 = bin0 ('?' expr ':' expr)? ;
 binop = BINOP | '*' | '<' | '>' | '-' | '+' | '&' | '|' | 'in' | 'instanceof' | '/' | '>' '>' | '>' '>' '>' ;
-unop = '!' | '~' | '-' | '+' | 'typeof' | 'void' | 'delete' | 'await' | INC ;
+unop = '!' | '~' | '-' | '+' | 'typeof' | 'void' | 'delete' | 'await' | INC | PREINC ;
 lhs = member ;
 lhs0 = member0 ;
 member = primary suffix* ;
@@ -113,7 +113,7 @@ JAVASCRIPT = (
     _JS_COMMON.replace("TYPE_MARK? ", "")
     + r"""
 ident = ID | 'of' | 'from' | 'as' | 'get' | 'set' | 'async' | 'accessor' | 'using' | 'assert' ;
-item = import | export | stmt ;
+item = import | decorator* export | stmt ;
 export = 'export' ('*' ('as' (word | STR))? from semi | export_list from? semi | var semi | fn_decl | class_decl | 'default' (fn_decl0 | class_decl0 | expr semi)) ;
 decl = var semi | fn_decl | class_decl ;
 binding = pattern ('=' expr)? ;
@@ -145,7 +145,7 @@ TYPESCRIPT = (
     _JS_COMMON.replace("TYPE_MARK? ", "'type'? ")
     + r"""
 ident = ID | 'of' | 'from' | 'as' | 'get' | 'set' | 'async' | 'accessor' | 'using' | 'assert' | 'require' | 'type' | 'is' | 'keyof' | 'readonly' | 'abstract' | 'declare' | 'namespace' | 'module' | 'interface' | 'asserts' | 'infer' | 'satisfies' | 'override' | 'public' | 'private' | 'protected' | 'unique' | 'out' | 'implements' | 'package' | 'global' ;
-item = import | export | 'import' 'type'? ident '=' ('require' '(' STR ')' | dotted) semi | stmt ;
+item = import | decorator* export | 'import' 'type'? ident '=' ('require' '(' STR ')' | dotted) semi | stmt ;
 export = 'export' ('*' ('as' (word | STR))? from semi | 'type' '*' ('as' word)? from semi | 'type'? export_list from? semi | decl | 'default' (fn_decl0 | decorator* 'abstract'? class_decl0 | interface | expr semi) | '=' list semi | 'as' 'namespace' ident semi | 'import' ident '=' dotted semi) ;
 dotted = word ('.' word)* ;
 decl = 'declare'? (var semi | fn_decl | decorator* 'abstract'? class_decl | interface | 'type' ident tparams? '=' type semi | 'const'? 'enum' ident '{' (enum_item (',' enum_item)* ','?)? '}' | ('namespace' | 'module') (dotted | STR) (ns_body | semi) | 'global' ns_body) ;

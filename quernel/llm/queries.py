@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, near_dup, origin, residue, secrets, splitting, tokens, vector_knn
+from quernel.llm import mixing, near_dup, origin, residue, secrets, splitting, syntax, tokens, vector_knn
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -120,3 +120,13 @@ def p4_found(spark, sf_dir):
 @query()
 def p4_redacted(spark, sf_dir):
     return secrets.secret_records(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "symbols"), redacted=True)
+
+
+@query()
+def p6_found(spark, sf_dir):
+    return syntax.broken_files(table(spark, sf_dir, "file_entries"))
+
+
+@query()
+def p6_rates(spark, sf_dir):
+    return syntax.rates(table(spark, sf_dir, "file_entries"))
