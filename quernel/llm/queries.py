@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quernel.llm import mixing, near_dup, origin, residue, secrets, splitting, syntax, tokens, vector_knn
+from quernel.llm import docpairs, mixing, near_dup, origin, residue, secrets, splitting, syntax, tokens, vector_knn
 from quernel.session import table
 
 QUERIES: dict = {}
@@ -130,3 +130,13 @@ def p6_found(spark, sf_dir):
 @query()
 def p6_rates(spark, sf_dir):
     return syntax.rates(table(spark, sf_dir, "file_entries"))
+
+
+@query()
+def p2_found(spark, sf_dir):
+    return docpairs.pairs(table(spark, sf_dir, "symbols")).select("symbol_id").distinct()
+
+
+@query()
+def p2_pairs(spark, sf_dir):
+    return docpairs.pairs(table(spark, sf_dir, "symbols")).distinct()
