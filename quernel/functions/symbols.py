@@ -194,7 +194,7 @@ def extract_symbols(text: str, language: str) -> list[dict]:
     hits: dict[int, tuple[re.Match, str]] = {}
     for pattern, kind in _COMPILED[language]:
         for m in pattern.finditer(bare):
-            if m.group("name") and m.group("name") not in _NOT_NAMES:
+            if m.group("name") and (m.group("name") not in _NOT_NAMES or language in ("rust", "go") and m.group("name") in ("new", "with", "lock", "get", "until", "when", "function")):
                 hits.setdefault(m.start("name"), (m, kind))
     classes = [(m.end(), _end(bare, language, m.end())) for m, k in hits.values() if k in ("class", "interface", "enum", "trait", "struct")]
     impls = [(m.end(), _close(bare, m.end() - 1, "{}")) for m in re.finditer(r"^[ \t]*(?:unsafe\s+)?impl\b[^;{]*\{", bare, re.M)] if language == "rust" else []

@@ -36,9 +36,9 @@ def upsert(old: DataFrame, batch: DataFrame) -> DataFrame:
     existing row keeps its place, new ones follow after the old."""
     last = Window.partitionBy("id").orderBy(F.desc("seq"))
     news = batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0)).alias("__top"))  # one row
+    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
     place = old.select("id", F.col("seq").alias("__old"))
-    news = news.join(place, "id", "left").join(F.broadcast(top)).withColumn("seq", F.coalesce("__old", F.col("__top") + F.col("seq"))).drop("__old", "__top")
+    news = news.join(place, "id", "left").withColumn("seq", F.coalesce("__old", F.lit(top) + F.col("seq"))).drop("__old")
     return old.join(news.select("id"), "id", "left_anti").unionByName(news.select(*old.columns))
 
 
