@@ -59,7 +59,7 @@ def chunk_text_pieces(text: str, limit: int = MAX_SIZE, overlap: int = OVERLAP)
     if size(text) <= limit:
         return [(text, 1, 1)]
     out: list[tuple[str, int, int]] = []
-    held, begin, line = "", 1, 1
+    held, begin, end, line = "", 1, 1, 1
     for para in text.split("\n\n"):
         para = para.strip(WHITE)
         if not para:
@@ -67,7 +67,7 @@ def chunk_text_pieces(text: str, limit: int = MAX_SIZE, overlap: int = OVERLAP)
         n = _lines(para)
         if size(para) > limit:
             if held:
-                out.append((held, begin, line - 1))
+                out.append((held, begin, end))
             rest, begin = para, line
             while size(rest) > limit:
                 head, rest = _head(rest, limit)
@@ -76,19 +76,19 @@ def chunk_text_pieces(text: str, limit: int = MAX_SIZE, overlap: int = OVERLAP)
                     out.append((part, begin, begin + _lines(head)))
                 begin += _lines(head)
                 rest = rest.strip(WHITE)
-            held = rest
+            held, end = rest, begin + max(1, _lines(rest)) - 1
         elif held and size(held) + size(para) + 2 > limit:
-            out.append((held, begin, line - 1))
+            out.append((held, begin, end))
             carried = _tail(held, overlap)
             begin = max(1, line - _lines(carried))
-            held = f"{carried}\n\n{para}" if carried else para
+            held, end = f"{carried}\n\n{para}" if carried else para, line + n - 1
         else:
             if not held:
                 begin = line
-            held = f"{held}\n\n{para}" if held else para
+            held, end = f"{held}\n\n{para}" if held else para, max(begin, line + n - 1)
         line += n
     if held:
-        out.append((held, begin, max(begin, line - 1)))
+        out.append((held, begin, end))
     return out
 
 
