@@ -14,6 +14,7 @@ which discusses or shows such things is not taken for one. Then
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ FILLINGS = 3
 NAMES = 2  # different texts that must show a name in an unmistakable slot
 REPEATS = 3
 PAGE_LINES = 6
+SLOTS = 1 << 17  # a power of two; fixed, whatever the corpus
 
 _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[`~]*[ \t]*$|\Z)", re.M | re.S)
 _TICKS = re.compile(r"(`+)(?!`)[^`\n]+?\1")
@@ -185,10 +187,13 @@ def residue_documents(documents: DataFrame) -> DataFrame:
     by_name = each("doubtful").join(names, "v", "left_semi").select("key")
 
     # the same words around another filling: contexts of doubtful slots, looked up among those of all prose
-    asked = each("contexts").groupBy("v").agg(F.count("*").alias("n"))
-    wanted = asked.select("v")
+    wanted = stage(each("contexts").select("v").distinct(), "residue-contexts")
+    # Which of a fixed number of slots hold a wanted context: texts are only searched for those, and the join settles it.
+    slots = {r.slot for r in wanted.select(F.crc32("v").bitwiseAND(SLOTS - 1).alias("slot")).distinct().collect()}  # SLOTS at most
+    held = documents.sparkSession.sparkContext.broadcast(bytes(int(k in slots) for k in range(SLOTS)))
 
     def fillings(batches):
+        flags = held.value
         for batch in batches:
             keys, values = [], []
             for text in strings(batch.column(0)):
@@ -196,8 +201,10 @@ def residue_documents(documents: DataFrame) -> DataFrame:
                     w = line.split()
                     for i in range(2, len(w) - 2):
                         if w[i][-1].isalnum() and w[i][0].isalnum():
-                            keys.append(f"{w[i - 2]} {w[i - 1]} □ {w[i + 1]} {w[i + 2]}")
-                            values.append(w[i].lower())
+                            key = f"{w[i - 2]} {w[i - 1]} □ {w[i + 1]} {w[i + 2]}"
+                            if flags[zlib.crc32(key.encode("utf-8", "replace")) & (SLOTS - 1)]:
+                                keys.append(key)
+                                values.append(w[i].lower())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(values, pa.string())], ["v", "filling"])
 
     filled = texts.select("text").mapInArrow(fillings, "v string, filling string").join(wanted, "v", "left_semi")
