@@ -64,7 +64,7 @@ _LINES = re.compile(
     r"|\{\s*\"?(?:error|status|message|code|errors)\"?\s*:.*|<error>\s*<code>.*|<\?xml[^>]*>\s*<error>.*"
     r"|upstream (?:connect error|request timeout).*|(?:fatal error|unhandled exception|request failed|uncaught (?:exception|error))\b.*|warning: .*\((?:code|errno|error) ?\d+\).*"
     # missing pages, access, limits, maintenance
-    rf"|(?:sorry|oops|uh[- ]oh|whoops)\b.*|something went wrong\b.*|(?:the|this|that|your) (?:requested |{_PAGE} )*{_PAGE} (?:you (?:were|are) looking for |you requested )?(?:(?:was|is|has been|could|can|does|did|no|doesn.t|isn.t|can.t|cannot|may have|is temporarily|is currently)\b).*(?:exist|found|available|unavailable|reached|unreachable|moved|removed|deleted|maintenance|rendered?|displayed|loaded|forbidden|offline|expired|denied|blocked|supported).*"
+    rf"|we (?:could not|couldn.t|cannot|can.t|were unable to) (?:find|locate|display|load|open|show) (?:the|a|an|this|that|your|any) (?:requested )?{_PAGE}\b.*|(?:sorry|oops|uh[- ]oh|whoops)\b.*|something went wrong\b.*|(?:the|this|that|your) (?:requested |{_PAGE} )*{_PAGE} (?:you (?:were|are) looking for |you requested )?(?:(?:was|is|has been|could|can|does|did|no|doesn.t|isn.t|can.t|cannot|may have|is temporarily|is currently)\b).*(?:exist|found|available|unavailable|reached|unreachable|moved|removed|deleted|maintenance|rendered?|displayed|loaded|forbidden|offline|expired|denied|blocked|supported).*"
     rf"|the server (?:could not|cannot|can.t|was unable to|encountered|is (?:temporarily|currently|too)).*|(?:page|file|url|access|permission) (?:not found|denied|forbidden|refused)[.!:]?.{{0,80}}$|access to this {_PAGE} (?:is|was|has been) .*"
     r"|you (?:don.t|do not) have (?:permission|access|the rights)\b.*|you are not (?:authorized|allowed|permitted)\b.*|your session (?:has )?(?:expired|timed out|ended)\b.*|rate limit (?:exceeded|reached)\b.*|too many requests\b.*"
     rf"|(?:this|the|our) {_PAGE} (?:is|will be) (?:down|offline|undergoing|under|unavailable|closed)\b.*maintenance.*|(?:we are|we.re|we will be|we.ll be) (?:down|offline|performing|undergoing|back)\b.*|(?:scheduled |planned )?maintenance (?:in progress|mode|window)\b.*"
@@ -99,6 +99,7 @@ _WEAK = re.compile(
 _TRACE = re.compile(r"^traceback \(most recent call last\):", re.I)
 _MARK = re.compile(r"^\s*(?:[-*+•]\s+|#{1,6}\s+|\d+[.)]\s+|(?:Expected|Actual|Q|A|Note|Added|Fixed|Changed|Removed):\s+)*")
 _LATIN = re.compile(r"\b[a-z]+\b", re.I)
+_ROWS = set("asdfghjkl;'qwertyuiop")
 _CHROME = re.compile(r"^(?:skip to (?:main )?content|.*\|.*\||request id:.*|.* - .* - .*|retry-after:.*|content-type:.*|ray id:.*|\(c\).*|©.*|[-=_*]{3,})$", re.I)
 
 
@@ -131,10 +132,19 @@ def mask(line: str) -> str:
     return re.sub(r"\d+", "9", re.sub(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b", "#", line.lower()))
 
 
-def is_pseudo_latin(line: str) -> bool:
-    """Whether a paragraph of filler goes on in made-up Latin after its first words."""
+def is_filler(line: str) -> bool:
+    """Whether a line fills space: made-up Latin after its first words, a few words over and over, or keys struck at
+    random on one part of the keyboard."""
     w = [x.lower() for x in _LATIN.findall(line)]
-    return len(w) >= 2 and w[0] == "lorem" and w[1] == "ipsum"
+    if len(w) >= 2 and w[0] == "lorem" and w[1] == "ipsum":
+        return True
+    if len(w) >= 6 and len(set(w)) <= 3 and not re.search(r"\d", line):
+        period = next(k for k in (1, 2, 3, len(w)) if k == len(w) or w == (w[:k] * len(w))[: len(w)])
+        return period < len(w)
+    keys = [c for c in line if not c.isspace()]
+    if len(keys) >= 30 and line.isascii() and line == line.lower() and set(keys) <= _ROWS and len(set(keys)) >= 5:
+        return keys.count(";") >= 2 or sum(c in "aeiou" for c in keys) < 0.25 * len(keys)
+    return False
 
 
 def judge(text: str) -> tuple[bool, list[str], list[str], list[str], list[str]]:
@@ -150,7 +160,7 @@ def judge(text: str) -> tuple[bool, list[str], list[str], list[str], list[str]]:
             doubtful.append(_slot_name(m))
             contexts.append(_context(line, m))
         bare = _MARK.sub("", line, count=1)
-        if _LINES.match(bare) or is_pseudo_latin(bare):
+        if _LINES.match(bare) or is_filler(bare):
             certain = True
     body = [x for x in lines if not _CHROME.match(x)]
     page = []

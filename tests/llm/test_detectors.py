@@ -99,10 +99,12 @@ def test_secret_tables(spark):
 
 
 RESIDUE = [
+    "foo bar foo bar foo bar foo bar", "Text before.\n\nbla bla bla bla bla bla bla", "keldw kdq ;flrfwjsaldqrwr;dsfedla;sq jwjaf;rwsfw;ljdqdresqfd", "Skip to content\n\nWe could not find a repository named a/b. Check the spelling.",
     "Welcome to {{ project_name }} today", "Dear <INSERT OWNER NAME HERE>,", "Lorem ipsum dolor sit amet consectetur", "TODO: write this page", "Skip to content\n\nPlease enable JavaScript to view this page.\n\nPrivacy - Terms - Status", "500 Internal Server Error\n\npalette/1.21.7",
     "Fehler 404: Die angeforderte Seite wurde nicht gefunden.", "抱歉,服务器暂时不可用,请稍后再试。", "このページを表示するには JavaScript を有効にしてください。", '{"error":{"code":503,"message":"Service Unavailable"}}', "Your description goes here. Add a few sentences.", "HTTP/1.1 404 Not Found", "noscript: app needs JS", "# Notes\n\nReal text.\n\nThis page is a placeholder. Content will go here.", "Active JavaScript para ver el contenido de esta página.",
 ]
 CLEAN = [
+    "never again, never again, never at night", "a", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "We could not find the pocket that the first tower keeps.",
     "Write `{{ beacon }}` where the inlet should appear.", "```html\n<p>{{ x }}</p>\n<noscript>Scripts are required</noscript>\n```\n\nThis is the template.", 'The notice "please enable JavaScript" is shown by the view.', "The filler command writes lorem ipsum of a given length.", "- [ ] TODO later: mesh", "2025-01-02T10:00:00Z ERROR 500 Internal Server Error", 'A crawl returned "access denied" for 3 of 9 pages.',
     "The viewer answered 502 Bad Gateway for 9 seconds because the counter was lost.", "Fixed: the 404 page now lists the nearest reef.", "Requests get status=404 when `x` is gone.", '```sh\nexport A="${HOME}/x"\n```', "Set the limit to 200 unless the edge holds text.", "[link](http://x) and [name] in brackets", "", "   ",
 ]
