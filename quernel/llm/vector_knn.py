@@ -134,21 +134,23 @@ def _class_neighbours(classes: DataFrame, k: int, least: float) -> DataFrame:
 
     placed = stage(classes.mapInPandas(place, "cls string, unit binary, near array<int>"), "knn-placed")
     size = {r.cell: r.n for r in placed.groupBy(F.col("near")[0].alias("cell")).agg(F.count("*").alias("n")).collect()}
+    asks = {r.cell: r.n for r in placed.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
     blocks = {c: -(-m // BLOCK) for c, m in size.items()}  # at most MAX_CELLS entries
-    parts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map(F.lit(0), F.lit(1))
+    lanes_of = {c: -(-asks.get(c, 0) // (PROBES * BLOCK)) or 1 for c in blocks}
+    table = lambda d: F.create_map(*[F.lit(x) for kv in (d or {0: 1}).items() for x in kv])
+    parts, tracks = table(blocks), table(lanes_of)
     salt = F.xxhash64("cls")
     data = placed.select("cls", "unit", F.col("near")[0].alias("cell")).select(
         "cls", "unit", "cell", F.pmod(salt, parts[F.col("cell")]).cast("int").alias("block"), F.lit(False).alias("asks")
     )
-    # a query goes to every block of its cells; queries of a cell are dealt over ``lane``s of bounded size
+    # a query goes to every block of its cells; a cell's queries are dealt over lanes of bounded size, and its blocks to
+    # every lane, so a task holds a bounded number of either
     asked = placed.select("cls", "unit", F.explode("near").alias("cell"))
     asked = asked.where(parts[F.col("cell")].isNotNull()).select(
         "cls", "unit", "cell", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)).alias("block"), F.lit(True).alias("asks")
     )
-    # every data block meets the queries in one task: the rows of a block are bounded, the queries are streamed in slices
-    lanes = F.pmod(F.xxhash64("cls", F.lit(1)), parts[F.col("cell")]).cast("int")
-    asked = asked.withColumn("lane", lanes)
-    data = data.withColumn("lane", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)))
+    asked = asked.withColumn("lane", F.pmod(F.xxhash64("cls", F.lit(1)), tracks[F.col("cell")]).cast("int"))
+    data = data.withColumn("lane", F.explode(F.sequence(F.lit(0), tracks[F.col("cell")] - 1)))
     both = asked.unionByName(data)
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
