@@ -121,7 +121,7 @@ def test_clean(text):
 
 
 def test_residue_table(spark):
-    rows = [(i, t, "x") for i, t in enumerate(RESIDUE)] + [(100 + i, t, "x") for i, t in enumerate(CLEAN)] + [(0, RESIDUE[0], "y"), (None, RESIDUE[0], "x"), (300, None, None), (301, "word " * 100_000, "x")]
+    rows = [(i, t, "x") for i, t in enumerate(RESIDUE)] + [(100 + i, t, "x") for i, t in enumerate(CLEAN)] + [(0, RESIDUE[0], "y"), (None, RESIDUE[0], "x"), (300, None, None), (301, " ".join(f"the {chr(97 + i % 26)}ord of {i % 977} keeps" for i in range(40_000)), "x")]
     rows += [(400 + i, f"Ask {{{{ owner_name }}}} about item {i}.", "x") for i in range(3)] + [(500, "Ask <owner-name> about it.", "x"), (501, "Use <br-tag> now.", "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
     got = {r.doc_id for r in residue.residue_documents(df).collect()}
