@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions import detect
+from quernel.functions import detect, markup
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -127,14 +127,16 @@ def office_text(data: bytes, fmt: str) -> str | None:
 
 
 def binary_text(files: DataFrame) -> DataFrame:
-    """path and text of the binary documents of a table (path, content binary); HTML goes through ``markup.html_text``."""
+    """path and text of the binary documents of a table (path, content binary): HTML by expressions, Office files here."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             yield pd.DataFrame({"path": p["path"], "text": [office_text(c, f) for c, f in zip(p["content"], p["format"])]})
 
-    rows = files.withColumn("format", detect.document_format("path")).where(F.col("format").isin(list(_READERS)))
-    return rows.select("path", "format", "content").mapInPandas(run, "path string, text string").where(F.col("text").isNotNull())
+    rows = files.withColumn("format", detect.document_format("path"))
+    office = rows.where(F.col("format").isin(list(_READERS))).select("path", "format", "content").mapInPandas(run, "path string, text string")
+    pages = rows.where(F.col("format") == "html").select("path", markup.html_text(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    return office.unionByName(pages).where(F.col("text").isNotNull())
 
 
 def archive_members(files: DataFrame) -> DataFrame:

@@ -66,8 +66,8 @@ def search(points: DataFrame, query: list[float], options: SearchOptions = Searc
         ranked = ranked.limit(options.limit)
         order = Window.orderBy(F.desc("score"), "seq")  # limit rows at most
         ranked = ranked.withColumn("rank", F.row_number().over(order) + F.lit(options.offset))
-        return ranked.join(points.drop("vector", "id"), "seq").orderBy("rank")
-    return ranked.join(points.drop("vector", "id"), "seq").orderBy(F.desc("score"), "seq")
+        return ranked.join(points.drop("vector", "seq"), "id").orderBy("rank")
+    return ranked.join(points.drop("vector", "seq"), "id").orderBy(F.desc("score"), "seq")
 
 
 def query_text(text: str, language: str | None = None) -> str:

@@ -174,6 +174,6 @@ def test_archives_and_office(spark):
     }
     assert archives.office_text(_zip(book), "xlsx") == "name\t5"
     assert archives.office_text(b"broken", "docx") is None and archives.office_text(b"x", "pdf") is None
-    files = spark.createDataFrame([("x.zip", _zip({"a.md": b"# t", "b.bin": b"0"})), ("y.docx", _zip({"word/document.xml": doc})), ("z.zip", b"bad")], "path string, content binary")
+    files = spark.createDataFrame([("x.zip", _zip({"a.md": b"# t", "b.bin": b"0"})), ("y.docx", _zip({"word/document.xml": doc})), ("z.zip", b"bad"), ("p.html", b"<p>page</p>")], "path string, content binary")
     assert [(r.archive, r.path, r.content) for r in archives.archive_members(files).collect()] == [("x.zip", "a.md", "# t")]
-    assert archives.binary_text(files).count() == 1
+    assert {r.path: r.text.split("\n")[0] for r in archives.binary_text(files).collect()} == {"y.docx": "## Head", "p.html": "page"}
