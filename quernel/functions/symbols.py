@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import detect
 from quernel.functions.chunking import chunk_id
+from quernel.session import spread
 
 MAX_FILE = 1 << 20
 
@@ -249,7 +250,7 @@ def symbols(files: DataFrame, compat_language: bool = False, tracked: list[str]
                 out += [(repo, branch, commit, path, shown, i, *(s[f] for f in fields)) for i, s in enumerate(found)]
             yield pd.DataFrame(out, columns=["repo", "branch", "commit", "file_path", "language", "ordinal", *fields])
 
-    got = rows.select(*names).mapInPandas(run, schema)
+    got = spread(rows.select(*names), "path").mapInPandas(run, schema)
     empty = F.lit("")
     key = chunk_id(F.col("repo"), F.col("file_path"), F.col("ordinal").cast("string"), F.col("kind"), F.col("name"))
     return got.withColumns({"id": key, "module_path": empty, "parent": F.lit(None).cast("string"), "column_start": F.lit(0).cast("bigint"), "column_end": F.lit(0).cast("bigint"), "is_static": F.lit(False)})

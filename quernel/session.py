@@ -53,6 +53,13 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, dealt over all cores by ``keys`` where the input comes in fewer splits than there are cores, as a
+    single file of one row group does. A table of many files stays as it is, so nothing is moved at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table that is small by definition; raises instead of cutting when it is not."""
     rows = df.limit(limit + 1).collect()
