@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.tokens import strings
-from quernel.session import stage
+from quernel.session import spread, stage
 
 COORDS = 20
 MATCHES = 5
@@ -103,7 +103,7 @@ def _signed(chunks: DataFrame, min_words: int) -> DataFrame:
             )
 
     rows = chunks.where(F.col("kind").isin("function", "method") & F.col("code").isNotNull() & F.col("id").isNotNull())
-    return rows.select("id", "code").mapInArrow(run, "id string, cls binary, key bigint, sig array<int>, triples array<int>")
+    return spread(rows.select("id", "code"), "id").mapInArrow(run, "id string, cls binary, key bigint, sig array<int>, triples array<int>")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.tokens import strings
-from quernel.session import stage
+from quernel.session import spread, stage
 
 LANGUAGES = {"py": 0, "js": 1, "mjs": 1, "cjs": 1, "jsx": 1, "ts": 2, "tsx": 2, "rs": 3, "go": 4, "java": 5}
 OTHER = 6
@@ -188,6 +188,7 @@ def file_scores(chunks: DataFrame) -> DataFrame:
     ext = F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))
     kind = F.coalesce("kind", F.lit(""))
     rows = chunks.where(ext.isin(SOURCE) & (kind != "document") & ~kind.endswith("_doc") & F.col("repo").isNotNull())
+    rows = spread(rows.select("repo", "file", "kind", "code"), "repo", "file")
     model = train(rows)
     made = _features(rows, model)
     # Partial sums before the shuffle; distinct lines and shapes as sketches of fixed size, so no file is one task's rows.

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.tokens import DEFAULT_FILE, encode_texts, strings
+from quernel.session import spread
 
 UNNATURAL = 2.3  # characters a subword; words of code and prose have 4 to 6
 SOME_UNNATURAL = 3.0  # enough where letters, digits and signs are mixed
@@ -258,6 +259,7 @@ def secret_records(chunks: DataFrame, symbols: DataFrame, redacted: bool = False
 
     both = None
     for name, df in (("chunks", chunks), ("symbols", symbols)):
-        rows = df.where(F.col("id").isNotNull() & F.col("code").rlike(TRIGGER)).select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "code")
+        rows = spread(df.select("id", "code"), "id").where(F.col("id").isNotNull() & F.col("code").rlike(TRIGGER))
+        rows = rows.select(F.lit(name).alias("record_table"), F.col("id").alias("record_id"), "code")
         both = rows if both is None else both.unionByName(rows)
     return both.mapInArrow(run, schema).distinct()

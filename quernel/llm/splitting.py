@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.session import bounded_rows
+from quernel.session import bounded_rows, spread
 
 BLOCK = 4  # lines on either side of a gap
 DIMS = 64  # hashed word counts of a line
@@ -135,4 +135,4 @@ def split_oversized(chunks: DataFrame, config: DataFrame, with_text: bool = Fals
             yield pa.RecordBatch.from_arrays(arrays, names[: len(arrays)])
 
     big = chunks.where(F.octet_length("code") > F.lit(least))
-    return big.select(F.col("id").cast("string"), F.col("code").cast("binary")).mapInArrow(run, schema)
+    return spread(big.select(F.col("id").cast("string").alias("id"), F.col("code").cast("binary").alias("code")), "id").mapInArrow(run, schema)
