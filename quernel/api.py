@@ -79,6 +79,8 @@ class Engine:
             self.running = False
 
     def vector(self, text: str, language: str | None = None) -> list[float]:
+        if self.embedder is None:
+            return embedding.fallback_values(search.query_text(text, language), self.config.dim)
         row = self.spark.createDataFrame([(language or "", text)], "language string, q string")
         row = row.withColumn("t", embedding_text("language", "q", F.lit(""), "q"))
         return list(embedding.embed(row, "t", self.embedder, self.config.dim, self.config.model).first().vector)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,13 @@ def fallback_vector(text: Column | str, dim: int = DIM) -> Column:
     return F.slice(F.flatten(F.array_repeat(block, -(-dim // 64))), 1, dim) if dim > 64 else block
 
 
+def fallback_values(text: str, dim: int = DIM) -> list[float]:
+    """The same vector for one text on the driver; as in a float column, values are rounded to single precision."""
+    h = int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
+    block = [float(np.float32(((h >> k) & 255) / 255.0)) for k in range(min(dim, 64))]
+    return (block * -(-dim // 64))[:dim]
+
+
 def embed(df: DataFrame, text: str, embedder: Embedder | None = None, dim: int = DIM, model: str = "default", batch: int = BATCH) -> DataFrame:
     """Adds ``vector`` and ``model``. Texts go to ``embedder`` in batches; a batch that fails, or vectors of another
     length, get fallback vectors and the model's name with ``-fallback``. Without an embedder all are fallback."""

@@ -122,9 +122,8 @@ def latest_points(spark, d):
     return rows.select("id", "file", "kind", "language", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("size"))
 
 
-def _point_query(spark: SparkSession) -> list[float]:
-    text = search.query_text(QUESTION, "python")
-    return list(spark.createDataFrame([(text,)], "t string").select(embedding.fallback_vector("t", DIM)).first()[0])
+def _point_query() -> list[float]:
+    return embedding.fallback_values(search.query_text(QUESTION, "python"), DIM)
 
 
 _QVEC = (
@@ -141,14 +140,14 @@ def point_search(spark, d):
     """Top 10 of the point table under a conjunction of language, kind and part of the file name."""
     points = store.latest_points(table(spark, d, "vector_points"))
     options = search.SearchOptions(10, 0, None, search.SearchFilter(language="python", kind="function", file="src"))
-    return search.results(search.search(points, _point_query(spark), options)).select("id", "file", "symbol", F.round("score", 6).alias("score"))
+    return search.results(search.search(points, _point_query(), options)).select("id", "file", "symbol", F.round("score", 6).alias("score"))
 
 
 @query(f"SELECT id, payload.repo AS repo, round(s, 6) AS score FROM ({_SCORED}) WHERE s >= 0.2")
 def point_threshold(spark, d):
     """Every point at or above a score."""
     points = store.latest_points(table(spark, d, "vector_points"))
-    found = search.scored(points, _point_query(spark), search.SearchOptions(0, 0, 0.2))
+    found = search.scored(points, _point_query(), search.SearchOptions(0, 0, 0.2))
     return found.select("id", "repo", F.round("score", 6).alias("score"))
 
 
@@ -238,7 +237,7 @@ def semantic_doc_search(spark, d):
     rows = _docs(spark, d).where(F.col("text").isNotNull() & (F.lower(F.trim("lang")) == "en"))
     text = chunking.embedding_text(F.coalesce("lang", F.lit("")), F.lit(""), F.lit(None), F.col("text"))
     points = rows.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("seq"), F.lower(F.trim("lang")).alias("lang"), embedding.fallback_vector(text, DIM).alias("vector"))
-    found = search.search(points, _point_query(spark), search.SearchOptions(10))
+    found = search.search(points, _point_query(), search.SearchOptions(10))
     return found.select(F.col("id").cast("bigint").alias("doc_id"), "lang", F.round("score", 6).alias("score"))
 
 
@@ -421,18 +420,18 @@ def commits(spark, d):
 def result_text(spark, d):
     """A search result as a text list."""
     points = store.latest_points(table(spark, d, "vector_points"))
-    return report.text_list(search.search(points, _point_query(spark), search.SearchOptions(10)))
+    return report.text_list(search.search(points, _point_query(), search.SearchOptions(10)))
 
 
 @query()
 def result_markdown(spark, d):
     """A search result as Markdown."""
     points = store.latest_points(table(spark, d, "vector_points"))
-    return report.markdown(search.search(points, _point_query(spark), search.SearchOptions(10)))
+    return report.markdown(search.search(points, _point_query(), search.SearchOptions(10)))
 
 
 @query()
 def result_graph(spark, d):
     """A search result as a graph in JSON."""
     points = store.latest_points(table(spark, d, "vector_points"))
-    return report.graph_json(stage(search.search(points, _point_query(spark), search.SearchOptions(20)), "graph"))
+    return report.graph_json(stage(search.search(points, _point_query(), search.SearchOptions(20)), "graph"))

@@ -115,6 +115,7 @@ def test_fallback_and_embedder(spark):
     df = spark.createDataFrame([("one",), ("two",), ("",)], "t string")
     v = embedding.embed(df, "t", None, 128).collect()
     assert all(len(r.vector) == 128 and list(r.vector[:64]) == list(r.vector[64:]) for r in v) and v[0].model == "default-fallback"
+    assert all(embedding.fallback_values(r.t, 128) == list(r.vector) for r in v)
     ok = embedding.embed(df, "t", lambda texts: [[float(len(t)), 1.0] for t in texts], 2, "m").collect()
     assert [list(r.vector) for r in ok] == [[3.0, 1.0], [3.0, 1.0], [0.0, 1.0]] and ok[0].model == "m"
 
