@@ -140,3 +140,8 @@ def p2_found(spark, sf_dir):
 @query()
 def p2_pairs(spark, sf_dir):
     return docpairs.pairs(table(spark, sf_dir, "symbols")).distinct()
+
+
+@query()
+def p2_files(spark, sf_dir):
+    return docpairs.file_functions(table(spark, sf_dir, "file_entries"))

@@ -57,6 +57,22 @@ def test_doc_pairs(spark):
     assert docpairs.pairs(df.limit(0)).count() == 0
 
 
+def test_functions_of_broken_files(spark):
+    good = '# Adds two rows.\ndef add(a, b):\n    """Adds."""\n    return a + b\n\n'
+    text = good + "def bad(a:\n    return (a\n\nclass C:\n    # Drops stale rows.\n    def drop(self):\n        return 1\n"
+    assert syntax.judge("python", text)[0] > 0
+    assert [f["name"] for f in docpairs.functions_of(text, "python")] == ["add", "drop"]
+    rust = "/// Sums all rows.\npub fn sum(a: u8) -> u8 { a }\nfn bad( { \n/// Keeps rows in order.\nfn keep() -> u8 { 1 }\n"
+    assert {f["name"] for f in docpairs.functions_of(rust, "rust")} == {"sum", "keep"}
+    assert [f["name"] for f in docpairs.functions_of("package a\n\nfunc (s *S) M() {}\n\nfunc bad( {\n", "go")] == ["M"]
+    assert [f["name"] for f in docpairs.functions_of("class A {\n  int f() { return 1; }\n  int g( { }\n", "java")] == ["f"]
+    rows = [(1, "a.py", text), (2, "b.rs", rust), (3, "c.py", None), (None, "d.py", text), (4, "e.md", text), (1, "a.py", text)]
+    df = spark.createDataFrame(rows, "file_id bigint, path string, content string")
+    got = {(r.file_id, r.name) for r in docpairs.file_functions(df).collect()}
+    assert got == {(1, "add"), (1, "drop"), (2, "sum"), (2, "keep")}
+    assert docpairs.file_functions(df.limit(0)).count() == 0
+
+
 def test_repeated_templates_are_dropped(spark):
     schema = "id string, name string, kind string, signature string, file_path string, language string, doc string, code string"
     rows = [(str(i), f"fn{i}abc", "function", "", "a.js", "", "Standard entry point.", "") for i in range(400)] + [("x", "other", "function", "", "a.js", "", "Walks the tree once.", "")]
