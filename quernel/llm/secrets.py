@@ -25,7 +25,7 @@ MIN_LENGTH = 6
 
 #: Rows without any of these cannot hold a secret that the rules know.
 TRIGGER = (
-    r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic |://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|AIza|npm_|SG\.|eyJ|pypi-|hf_|dop_v1_|[-_][A-Za-z0-9]{16}|xoxb|glpat|'AIza"
+    r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic |://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|AIza|npm_|SG\.|eyJ|pypi-|hf_|dop_v1_|[-_][A-Za-z0-9]{16}|xoxb|glpat|\s-u\s|--user\s|'AIza"
 )
 _NAME = (
     r"(?:pass(?:word|wd|phrase|code)?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|signing[_-]?key|encryption[_-]?key|client[_-]?key|master[_-]?key|account[_-]?key|shared[_-]?key|auth[_-]?key|deploy[_-]?key|service[_-]?key|session[_-]?key|hmac[_-]?key|storage[_-]?key|credentials?|authorization|auth|bearer|apikey)"

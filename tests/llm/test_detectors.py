@@ -153,3 +153,11 @@ def test_syntax_tables(spark):
     rates = {(r.repo, r.language): (r.n_files, r.n_invalid) for r in syntax.rates(df).collect()}
     assert rates == {("r", "python"): (2, 1), ("r", "go"): (1, 1), (None, "javascript"): (1, 1), ("r", "rust"): (1, 0)}
     assert syntax.broken_files(df.limit(0)).count() == 0
+
+
+def test_row_filter_keeps_all_secrets():
+    import re
+
+    trigger = re.compile(secrets.TRIGGER.removeprefix("(?i)"), re.I)
+    assert all(trigger.search(code) for code in [*SECRET, 'cmd = "curl -s -u quota:K5TZXYHWy6EkOA https://folder.example"'])
+    assert secrets.find_secrets('cmd = "curl -s -u quota:K5TZXYHWy6EkOA https://folder.example"')
