@@ -51,7 +51,7 @@ _SCHEME = re.compile(r"^(?:Bearer|Basic|Token|ApiKey|Digest|JWT)\s+", re.I)
 _USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://(?P<user>[^\s/:@\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@(?P<host>[\w.\[\]{}$%-]+)", re.I)
 _FIELD = re.compile(r"(?:^|[;?&\s\"'])(?:password|passwd|pwd|accountkey|sharedaccesskey|secret|client_secret|access_token|api_key|apikey|token|sig)=(?P<v>[^;&\s\"'`<>]+)", re.I)
 _HEADER = re.compile(r"\b(?P<k>Bearer|Basic)\s+(?P<v>[A-Za-z0-9+/_.~=-]{12,})")
-_OPTION = re.compile(r"(?:--?(?:password|passwd|pwd|token|secret|api-?key|access-?token|auth-?token)(?:\s+|=)|(?:\s-u|--user)\s+[\w.-]+:)(?P<q>[\"']?)(?P<v>[^\s\"'`]+)(?P=q)", re.I)
+_OPTION = re.compile(r"(?:(?<![\w-])--?(?:password|passwd|pwd|token|secret|api-?key|access-?token|auth-?token)(?:\s+|=)|(?:\s-u|--user)\s+[\w.-]+:)(?P<q>[\"']?)(?P<v>[^\s\"'`]+)(?P=q)", re.I)
 _PEM = re.compile(r"-----BEGIN (?P<k>[A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----(?P<v>.*?)(?:-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 #: Prefixes that vendors give their tokens; fixed public formats.
 _VENDOR = re.compile(
