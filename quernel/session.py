@@ -6,6 +6,8 @@ cuts the lineage, survives the loss of any executor and lets later steps read on
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,6 +31,18 @@ def build_session(app: str = "quernel", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session, where they would not find it by themselves: neither the
+    working folder nor PYTHONPATH, which workers take over, holds it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    found = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if any(p and os.path.realpath(p) == os.path.realpath(root) for p in found) or getattr(spark, "_quernel_shipped", False):
+        return
+    at = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quernel-"), "quernel"), "zip", root, "quernel")
+    spark.sparkContext.addPyFile(at)
+    spark._quernel_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
