@@ -31,8 +31,8 @@ OTHER = 6
 SOURCE = [*LANGUAGES, "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "kt", "kts", "swift", "scala", "dart", "lua", "pl", "pm", "r", "sh", "bash", "sql"]
 MANGLED_BITS = 1.05  # bits a symbol of name parts, as a multiple of the median file's in the language
 SHORT_NAMES = 0.35
-LOW_DIVERSITY = 1.6  # distinct line shapes as a multiple of the root of the number of distinct lines
-MIN_LINES = 8
+LOW_DIVERSITY = 0.95  # distinct line shapes as a multiple of the root of the number of distinct lines; imports and comments aside
+MIN_LINES = 6
 DATA_SHARE = 0.5
 FEW_SHAPES = 6
 FOREIGN = 0.5
@@ -125,10 +125,10 @@ def line_shapes(code: str) -> tuple[list[int], list[int], int, int]:
     seen, kinds, statements = {}, {}, set()
     for line, shape in zip(lines, shapes):
         s = shape.strip(" \t\r")
-        if s and s not in ("}", "{", ")", "};", "});"):
+        if s and s not in ("}", "{", ")", "};", "});") and not _PLAIN.match(line.lstrip()):
             seen[line] = None
             kinds[s] = None
-            if "\x01" not in line and not _PLAIN.match(line.lstrip()):
+            if "\x01" not in line:
                 statements.add(s)
     crc = lambda d: [zlib.crc32(x.encode("utf-8", "replace")) & 0x7FFFFFFF for x in d]
     return crc(seen), crc(kinds), literal + len(_DIGITS.findall(bare)), crc(statements)
