@@ -1,13 +1,14 @@
 """Symbols of source files in twenty languages.
 
-Python files are read by the standard library's parser. For the others, strings and comments are blanked in place, so
-that declarations can be found by their keywords and ends by matching brackets or keywords; offsets stay those of the
-source. A file that cannot be read gives no rows, so one broken file never stops a job.
+Python files are read by the standard library's parser, and those that it refuses by their statements' indentation, with
+strings and brackets passed over. For the others, strings and comments are blanked in place, so that declarations can be
+found by their keywords and ends by matching brackets or keywords; offsets stay those of the source.
 """
 
 from __future__ import annotations
 
 import ast
+import inspect
 import re
 import warnings
 from collections.abc import Iterator
@@ -182,13 +183,132 @@ def _python(text: str) -> Iterator[dict]:
     yield from inside(tree, "function")
 
 
+_PY_TOKEN = re.compile(
+    r"(?P<nl>\n)|(?P<ws>[ \t\f\r]+|\\\r?\n)|(?P<cm>#[^\n]*)"
+    r"|(?P<str>[rRbBuUfFtT]{0,2}(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\n]|\\[\s\S])*\"|'(?!'')(?:[^'\\\n]|\\[\s\S])*'))"
+    r"|(?P<id>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<op>:)|(?P<any>[\s\S])"
+)
+_PY_CONFLICT = re.compile(r"(?:<{7}|>{7}|\|{7}|={7})(?![<>|=])[^\n]*")
+_PY_START = re.compile(r"[ \t\f]*(?:(?:async[ \t]+)?def[ \t]+\w+[ \t]*[(\[]|class[ \t]+\w+[ \t]*[(:\[]|@[A-Za-z_][\w.]*[ \t]*(?:\(|\r?$))", re.M)
+_PY_HEAD = re.compile(r"(?:async\s+)?(def|class)\s+(\w+)")
+
+
+def _statements(text: str) -> Iterator[tuple[int, int, int, bool, list[tuple[str, int, int]]]]:
+    """(indentation, start, end, whether brackets are closed, tokens) of each logical line, valid or not. Strings cannot
+    end a line, nor can open brackets, unless a definition or a decorator begins on one: then the bracket was never closed."""
+    at, n, depth = (1 if text[:1] == "\ufeff" else 0), len(text), 0
+    tokens: list[tuple[str, int, int]] = []
+
+    def line():
+        begin = tokens[0][1]
+        lead = text[text.rfind("\n", 0, begin) + 1 : begin].replace("\ufeff", "")
+        return len(lead[lead.rfind("\f") + 1 :].expandtabs(8)), begin, tokens[-1][2], not depth, tokens
+
+    while at < n:
+        if (not at or text[at - 1] == "\n") and (m := _PY_CONFLICT.match(text, at)):
+            at = m.end()
+            continue
+        m = _PY_TOKEN.match(text, at)
+        kind, at = m.lastgroup, m.end()
+        if kind == "nl":
+            if tokens and (not depth or _PY_START.match(text, at)):
+                yield line()
+                tokens, depth = [], 0
+        elif kind not in ("ws", "cm"):
+            depth = depth + 1 if kind == "open" else max(0, depth - 1) if kind == "close" else depth
+            if kind == "any" and m.group() in "\"'" and not text.startswith(m.group() * 3, m.start()):
+                at = text.find("\n", at) if "\n" in text[at:] else n  # a string that is never closed ends with its line
+            elif kind == "any" and m.group() in "\"'":
+                at += 2
+            tokens.append((kind, m.start(), at))
+    if tokens:
+        yield line()
+
+
+def python_blocks(text: str) -> list[dict]:
+    """Functions and classes of a Python text that need not parse, in source order, with those that hold them: ``start`` and
+    ``end`` are offsets, ``first`` that of the first decorator, ``outer`` the words ``def`` and ``class`` around it."""
+    found: list[dict] = []
+    open_: list[tuple[int, dict]] = []
+    first = fresh = None
+    pending: list[dict] = []  # a head without a colon or with an open bracket, until deeper lines follow
+    for indent, start, end, closed, tokens in _statements(text):
+        for b in pending:
+            if indent <= b["indent"]:
+                found.remove(b)
+        pending = []
+        while open_ and open_[-1][0] >= indent:
+            open_.pop()
+        for _, b in open_:
+            b["end"] = end
+        if fresh is not None and open_ and open_[-1][1] is fresh and all(k == "str" for k, _, _ in tokens):
+            fresh["string"] = text[start:end]
+        fresh = None
+        if text[start] == "@":
+            first = start if first is None else first
+            continue
+        m = _PY_HEAD.match(text, start)
+        if m:
+            b = {"word": m.group(1), "name": m.group(2), "is_async": m.group().startswith("async"), "indent": indent, "start": start, "end": end, "first": start if first is None else first, "outer": [x["word"] for _, x in open_], "string": ""}
+            depth, head = 0, None
+            for k, (kind, a, z) in enumerate(tokens):
+                depth += (kind == "open") - (kind == "close")
+                if kind == "op" and not depth:
+                    head = k
+                    break
+            if head is None and not closed:  # the bracket stays open: the head ends with the line whose colon a deeper line follows
+                inner = re.compile(r":[ \t]*(?:#[^\n]*)?\r?\n(?=(?:[ \t]*\r?\n)*([ \t]+)\S)").search(text, start, end)
+                if inner and len(inner.group(1).expandtabs(8)) > indent:
+                    head = len(tokens)
+            if head is None:
+                pending.append(b)
+            elif head < len(tokens) - 1 and all(k == "str" for k, _, _ in tokens[head + 1 :]):
+                b["string"] = text[tokens[head + 1][1] : end]
+            elif head == len(tokens) - 1:
+                fresh = b
+            found.append(b)
+            open_.append((indent, b))
+            if not closed and head is None:
+                found.remove(b)
+                open_.pop()
+                pending = []
+        first = None
+    for b in pending:
+        found.remove(b)
+    return found
+
+
+def _python_broken(text: str) -> Iterator[dict]:
+    """As ``_python``, for texts that do not parse."""
+    lines = text.split("\n")
+    for b in python_blocks(text):
+        if "def" in b["outer"] or (b["word"] == "class" and "class" in b["outer"]):
+            continue
+        begin, last = text.count("\n", 0, b["start"]), text.count("\n", 0, b["end"])
+        code = "\n".join(lines[begin : last + 1])
+        head = re.match(r"\s*(?:async\s+)?(?:def|class)\s+\w+", code)
+        params = _params(code, head.end()) if head and b["word"] == "def" else None
+        doc = doc_above(lines, text.count("\n", 0, b["first"]))
+        if not doc and b["string"]:
+            try:
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    value = ast.literal_eval(f"({b['string']})")
+            except (SyntaxError, ValueError, RecursionError):
+                value = ""
+            doc = inspect.cleandoc(value) if isinstance(value, str) else ""
+        kind = "class" if b["word"] == "class" else "method" if "class" in b["outer"] else "function"
+        sig = f"{b['name']}({params})" if params is not None else b["name"]
+        yield {"name": b["name"], "kind": kind, "signature": sig, "code": code, "doc": doc or None, "line_start": begin + 1, "line_end": last + 1, "is_public": False, "is_async": b["is_async"]}
+
+
 def extract_symbols(text: str, language: str) -> list[dict]:
     """Symbols of a text in source order; in Rust, what is nested comes before what holds it."""
     if language == "python":
         try:
             return list(_python(text))
         except (SyntaxError, ValueError, RecursionError):
-            return []
+            return list(_python_broken(text))
     if language not in _COMPILED:
         return []
     bare, lines = _blank(text, language), text.split("\n")

@@ -134,6 +134,16 @@ def test_symbol_fields():
     assert doc_above(["/* one line */", "f"], 1) == "one line"
 
 
+def test_symbols_of_broken_python():
+    text = "class A(B):\n    @p\n    async def m(self):\n        '''Says\nat the margin.\n'''\n        def inner(): pass\n    def n(self)\n        print 'x'\n<<<<<<< a\n    def o(self, x=(1, 2):\n        return x\ndef g(a,\n   b):\n  x = (1\ndef h(): pass\ndef cut():\n"
+    found = extract_symbols(text, "python")
+    got = [(s["name"], s["kind"], s["line_start"], s["line_end"], s["is_async"]) for s in found]
+    assert got == [("A", "class", 1, 12, False), ("m", "method", 3, 7, True), ("n", "method", 8, 9, False), ("o", "method", 11, 12, False), ("g", "function", 13, 15, False), ("h", "function", 16, 16, False), ("cut", "function", 17, 17, False)]
+    assert found[1]["doc"] == "Says\nat the margin."
+    valid = "import x\n\nclass A:\n    'doc'\n    def m(self, a=':'):\n        s = '''\nend\n'''\n        return s\n\n# above\n@d\ndef f(a,\n  b): return {\n}\n"
+    assert extract_symbols(valid + "print 'x'\n", "python") == extract_symbols(valid, "python") != []
+
+
 def test_symbol_table(spark):
     files = spark.createDataFrame([("r", "b", "c", "a.py", "def f(x):\n    pass\n"), ("r", "b", "c", "a.md", "# x"), ("r", "b", "c", "bad.py", "def ("), ("r", "b", "c", "n.py", None), ("r", "b", "c", "b.go", "package a\n\nfunc G() {}\n")], "repo string, branch string, commit string, path string, content string")
     assert {(r.file_path, r.name, r.language) for r in symbols(files).collect()} == {("a.py", "f", "python"), ("b.go", "G", "go")}
