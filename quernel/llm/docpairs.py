@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.symbols import doc_above, extract_symbols
+from quernel.functions.symbols import doc_above, extract_symbols, python_blocks
 from quernel.llm import gll, syntax
 from quernel.llm.tokens import strings
 from quernel.session import spread, stage
@@ -188,34 +188,40 @@ def template(text: str, name: str, signature: str) -> str:
     return " ".join("□" if stem(w) in own else w.lower() for w in _WORD.findall(text))
 
 
+def short_template(text: str, name: str, signature: str) -> str:
+    """The template of a short description, "" for a longer one."""
+    t = template(text, name, signature)
+    return t if len(t.split()) <= TEMPLATE_WORDS else ""
+
+
 _WRAP = {"java": "class A {{ {} }}", "go": "package a\n{}\n", "javascript": "class A {{ {} }}", "typescript": "class A {{ {} }}", "rust": "impl A {{ {} }}"}
 
 
-def _python_blocks(text: str) -> list[dict]:
-    """Functions of a Python file by indentation alone, for files that do not parse as a whole."""
+def _python_functions(text: str) -> list[dict]:
+    """Functions of a Python text by its statements' indentation, whether or not it parses; ``framed`` is the code as it
+    stands in the text, so that strings keep their lines."""
     lines, out = text.split("\n"), []
-    for i, line in enumerate(lines):
-        m = re.match(r"([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)", line)
-        if not m:
-            continue
-        end = i + 1
-        while end < len(lines) and (not lines[end].strip() or re.match(r"[ \t]*[)\]}#]", lines[end]) or len(lines[end]) - len(lines[end].lstrip()) > len(m.group(1))):
-            end += 1
-        code = "\n".join(x[len(m.group(1)) :] for x in lines[i:end]).rstrip()
-        kind = "method" if m.group(1) else "function"
-        out.append({"name": m.group(2), "kind": kind, "signature": code.split("\n")[0], "code": code, "doc": doc_above(lines, i), "line_start": i + 1})
+    for b in python_blocks(text):
+        if b["word"] == "def":
+            at, last = text.count("\n", 0, b["start"]), text.count("\n", 0, b["end"])
+            rows = lines[at : last + 1]
+            lead = rows[0][: len(rows[0]) - len(rows[0].lstrip())]
+            code = "\n".join(x.removeprefix(lead) for x in rows).rstrip()
+            doc = doc_above(lines, text.count("\n", 0, b["first"]))
+            framed = ("class A:\n" if lead else "") + "\n".join(rows)
+            out.append({"name": b["name"], "kind": "method" if lead else "function", "signature": code.split("\n")[0], "code": code, "framed": framed, "doc": doc, "line_start": at + 1})
     return out
 
 
 def functions_of(text: str, name: str) -> list[dict]:
     """The valid functions of a text in a language, whether or not the text is valid as a whole: each is charted alone,
     methods in the frame that their language asks for."""
-    found = _python_blocks(text) if name == "python" else [s for s in extract_symbols(text, name) if s["kind"] in ("function", "method")]
+    found = _python_functions(text) if name == "python" else [s for s in extract_symbols(text, name) if s["kind"] in ("function", "method")]
     lang, out = syntax.language(name), []
     lang.grammar.trim()
     for f in found:
         framed = f["kind"] == "method" or name in ("java", "go")
-        body = _WRAP[name].format(f["code"]) if name in _WRAP and framed else f["code"] + "\n"
+        body = _WRAP[name].format(f["code"]) if name in _WRAP and framed else f.get("framed", f["code"]) + "\n"
         tokens = syntax.tokenize(body, lang)
         if syntax.chart(lang, tokens)[0] == len(tokens):
             out.append(f)
@@ -224,27 +230,29 @@ def functions_of(text: str, name: str) -> list[dict]:
 
 def file_functions(files: DataFrame) -> DataFrame:
     """file_id, name, line_start, code and description of the valid, documented functions of every source file, those of
-    files that do not parse included. Null ids, contents and paths give none; copies count once."""
+    files that do not parse included, without templates of the corpus. Null ids, contents and paths give none; copies count
+    once."""
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     kinds = F.create_map(*[F.lit(x) for kv in syntax.EXTENSIONS.items() for x in kv])
     rows = files.where(F.col("file_id").isNotNull() & F.col("content").isNotNull() & ext.isin(list(syntax.EXTENSIONS)))
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for key, name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))):
                 for f in functions_of(text, name):
                     said = description(f["doc"] or "", f["name"], f["signature"])
                     if not said and name == "python":
                         said = description(body_string(f["code"]), f["name"], f["signature"])
                     if said:
-                        for column, value in zip(out, (key, f["name"], f["line_start"], f["code"], said)):
+                        for column, value in zip(out, (key, f["name"], f["line_start"], f["code"], said, short_template(said, f["name"], f["signature"]))):
                             column.append(value)
-            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "name", "line_start", "code", "description"])
+            arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["file_id", "name", "line_start", "code", "description", "template"])
 
-    schema = "file_id bigint, name string, line_start bigint, code string, description string"
-    return spread(rows.select("file_id", kinds[ext].alias("language"), "content"), "file_id").mapInArrow(run, schema).distinct()
+    schema = "file_id bigint, name string, line_start bigint, code string, description string, template string"
+    found = spread(rows.select("file_id", kinds[ext].alias("language"), "content"), "file_id").mapInArrow(run, schema)
+    return without_templates(stage(found, "file-pairs")).select("file_id", "name", "line_start", "code", "description").distinct()
 
 
 def documented(symbols: DataFrame) -> DataFrame:
@@ -269,8 +277,7 @@ def documented(symbols: DataFrame) -> DataFrame:
                 if said:
                     keep.append(i)
                     text.append(said)
-                    t = template(said, name, signature)
-                    temp.append(t if len(t.split()) <= TEMPLATE_WORDS else "")
+                    temp.append(short_template(said, name, signature))
             rows = pa.array(keep, pa.int64())
             arrays = [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), batch.column(6).take(rows), pa.array(text, pa.string()), pa.array(temp, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["symbol_id", "name", "signature", "code", "description", "template"])
@@ -279,12 +286,15 @@ def documented(symbols: DataFrame) -> DataFrame:
     return spread(rows.select("id", "name", "signature", "file_path", "language", "doc", "code"), "id").mapInArrow(run, schema)
 
 
-def pairs(symbols: DataFrame) -> DataFrame:
-    """The code-description pairs without those whose description is a template of the corpus."""
-    found = stage(documented(symbols), "doc-pairs")
+def without_templates(found: DataFrame) -> DataFrame:
+    """The rows whose description is no template of the corpus; ``found`` is read more than once."""
     names = found.select(F.approx_count_distinct("name")).first()[0]
     least = max(TEMPLATE_NAMES, TEMPLATE_SHARE * names)
     short = found.where("template <> ''").select("template", "name")
     repeated = short.groupBy(F.xxhash64("template").alias("h")).agg(F.approx_count_distinct("name").alias("n")).where(F.col("n") >= least).select("h")
-    kept = found.withColumn("h", F.when(F.col("template") != "", F.xxhash64("template"))).join(repeated, "h", "left_anti")
-    return kept.select("symbol_id", "signature", "code", "description")
+    return found.withColumn("h", F.when(F.col("template") != "", F.xxhash64("template"))).join(repeated, "h", "left_anti")
+
+
+def pairs(symbols: DataFrame) -> DataFrame:
+    """The code-description pairs without those whose description is a template of the corpus."""
+    return without_templates(stage(documented(symbols), "doc-pairs")).select("symbol_id", "signature", "code", "description")

@@ -162,3 +162,14 @@ def test_row_filter_keeps_all_secrets():
     trigger = re.compile(secrets.TRIGGER.removeprefix("(?i)"), re.I)
     assert all(trigger.search(code) for code in [*SECRET, 'cmd = "curl -s -u quota:K5TZXYHWy6EkOA https://folder.example"'])
     assert secrets.find_secrets('cmd = "curl -s -u quota:K5TZXYHWy6EkOA https://folder.example"')
+
+
+def test_strings_end_no_function(spark):
+    text = 'class A:\n    def f(self):\n        """Frobs the gizmo.\n\nAt the margin: def no(): pass\n"""\n        s = \'\'\'\nx\n\'\'\'\n        return s\n\n    def g(self, a,\n  b):\n        return {\n}\n'
+    for broken in ("", "print 'x'\n"):
+        got = {f["name"]: f["code"] for f in docpairs.functions_of(text + broken, "python")}
+        assert list(got) == ["f", "g"] and got["f"].endswith("    return s") and "\nAt the margin" in got["f"] and got["g"].endswith("}")
+    assert docpairs.functions_of("def f():\n    x = 1\n<<<<<<< a\n    y = 2\n=======\n    y = 3\n>>>>>>> b\n", "python") == []
+    many = "".join(f'def f{i}(x):\n    """Frobs gizmos."""\n' for i in range(260))
+    df = spark.createDataFrame([(1, "a.py", many), (2, "b.py", text)], "file_id long, path string, content string")
+    assert [(r.file_id, r.name) for r in docpairs.file_functions(df).collect()] == [(2, "f")]
