@@ -20,9 +20,8 @@ from quernel.llm import gll, syntax
 from quernel.llm.tokens import strings
 from quernel.session import spread, stage
 
-TEMPLATE_NAMES = 200  # different names under which one description makes a template
-TEMPLATE_SHARE = 0.002  # and their least share of all documented names
-TEMPLATE_WORDS = 4
+TEMPLATE_SHARE = 0.002  # of all documented names, under which one description makes a template
+TEMPLATE_NAMES = 3  # names that are the least evidence of a repetition; the share asks for more from 1,500 names on
 SKIPS = 20
 
 HEAD = r"""
@@ -188,12 +187,6 @@ def template(text: str, name: str, signature: str) -> str:
     return " ".join("□" if stem(w) in own else w.lower() for w in _WORD.findall(text))
 
 
-def short_template(text: str, name: str, signature: str) -> str:
-    """The template of a short description, "" for a longer one."""
-    t = template(text, name, signature)
-    return t if len(t.split()) <= TEMPLATE_WORDS else ""
-
-
 _WRAP = {"java": "class A {{ {} }}", "go": "package a\n{}\n", "javascript": "class A {{ {} }}", "typescript": "class A {{ {} }}", "rust": "impl A {{ {} }}"}
 
 
@@ -245,14 +238,14 @@ def file_functions(files: DataFrame) -> DataFrame:
                     if not said and name == "python":
                         said = description(body_string(f["code"]), f["name"], f["signature"])
                     if said:
-                        for column, value in zip(out, (key, f["name"], f["line_start"], f["code"], said, short_template(said, f["name"], f["signature"]))):
+                        for column, value in zip(out, (key, f["name"], f["line_start"], f["code"], said, template(said, f["name"], f["signature"]))):
                             column.append(value)
             arrays = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, ["file_id", "name", "line_start", "code", "description", "template"])
 
     schema = "file_id bigint, name string, line_start bigint, code string, description string, template string"
     found = spread(rows.select("file_id", kinds[ext].alias("language"), "content"), "file_id").mapInArrow(run, schema)
-    return without_templates(stage(found, "file-pairs")).select("file_id", "name", "line_start", "code", "description").distinct()
+    return without_templates(found, "file-pairs").select("file_id", "name", "line_start", "code", "description").distinct()
 
 
 def documented(symbols: DataFrame) -> DataFrame:
@@ -277,7 +270,7 @@ def documented(symbols: DataFrame) -> DataFrame:
                 if said:
                     keep.append(i)
                     text.append(said)
-                    temp.append(short_template(said, name, signature))
+                    temp.append(template(said, name, signature))
             rows = pa.array(keep, pa.int64())
             arrays = [batch.column(0).take(rows), batch.column(1).take(rows), batch.column(2).take(rows), batch.column(6).take(rows), pa.array(text, pa.string()), pa.array(temp, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, ["symbol_id", "name", "signature", "code", "description", "template"])
@@ -286,15 +279,15 @@ def documented(symbols: DataFrame) -> DataFrame:
     return spread(rows.select("id", "name", "signature", "file_path", "language", "doc", "code"), "id").mapInArrow(run, schema)
 
 
-def without_templates(found: DataFrame) -> DataFrame:
-    """The rows whose description is no template of the corpus; ``found`` is read more than once."""
+def without_templates(found: DataFrame, stage_name: str) -> DataFrame:
+    """The rows whose description, of whatever length, is no template of the corpus."""
+    found = stage(found.withColumn("h", F.xxhash64("template")).drop("template"), stage_name)
     names = found.select(F.approx_count_distinct("name")).first()[0]
     least = max(TEMPLATE_NAMES, TEMPLATE_SHARE * names)
-    short = found.where("template <> ''").select("template", "name")
-    repeated = short.groupBy(F.xxhash64("template").alias("h")).agg(F.approx_count_distinct("name").alias("n")).where(F.col("n") >= least).select("h")
-    return found.withColumn("h", F.when(F.col("template") != "", F.xxhash64("template"))).join(repeated, "h", "left_anti")
+    repeated = found.groupBy("h").agg(F.approx_count_distinct("name").alias("n")).where(F.col("n") >= least).select("h")
+    return found.join(repeated, "h", "left_anti")
 
 
 def pairs(symbols: DataFrame) -> DataFrame:
     """The code-description pairs without those whose description is a template of the corpus."""
-    return without_templates(stage(documented(symbols), "doc-pairs")).select("symbol_id", "signature", "code", "description")
+    return without_templates(documented(symbols), "doc-pairs").select("symbol_id", "signature", "code", "description")

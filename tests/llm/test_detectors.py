@@ -173,3 +173,12 @@ def test_strings_end_no_function(spark):
     many = "".join(f'def f{i}(x):\n    """Frobs gizmos."""\n' for i in range(260))
     df = spark.createDataFrame([(1, "a.py", many), (2, "b.py", text)], "file_id long, path string, content string")
     assert [(r.file_id, r.name) for r in docpairs.file_functions(df).collect()] == [(2, "f")]
+
+
+def test_long_templates_are_dropped_at_every_size(spark):
+    schema = "id string, name string, kind string, signature string, file_path string, language string, doc string, code string"
+    for n in (30, 600):
+        said = lambda i: ("Delegates this work to the configured backend service.", "この処理は設定された外部サービスにすべて委ねられる。", f"Walks tree w{i}x{'abcdefghij'[i % 10] * (i // 10 + 2)} once.")[i % 3]
+        rows = [(str(i), f"fn{i}abc", "function", "", "a.js", "", said(i), "") for i in range(n)]
+        got = docpairs.pairs(spark.createDataFrame(rows, schema)).collect()
+        assert {r.symbol_id for r in got} == {str(i) for i in range(2, n, 3)}
