@@ -1,4 +1,4 @@
-"""A generalised LL recogniser with graph-structured stacks and minimum-cost repair.
+"""A generalised LL recogniser with graph-structured stacks, and what its error correction needs.
 
 A grammar in EBNF becomes a recursive transition network. A descriptor is a network state and a node of the
 graph-structured stack; nodes are interned, so stacks with a common tail share it. The set of descriptors before a
@@ -6,16 +6,18 @@ token is one column of the chart. Columns are interned, too, and keep the column
 column was met before, in any file, the step is one lookup, and the chart of a valid file is built at the speed of a
 deterministic automaton. Rules must not be left recursive; loops are written with ``*``.
 
-Repair follows the chart of least cost: columns of cost 0 as far as they go, then columns one edit dearer that begin
-within a window before the place where the cheaper ones end. An edit deletes, inserts or replaces one token.
+For error correction a column also gives the column behind any one terminal (an insertion or replacement), and every
+descriptor the least number of terminals that complete it.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 _EBNF = re.compile(r"\s+|#[^\n]*|'(?:[^'\\]|\\.)+'|[A-Z][A-Z_0-9]*\b|[a-z][a-z_0-9]*|[|()*+?=;]")
 END, ANY = "END", "ANY_TOKEN"
+FREE = {END, "ASI", "ARM_END"}  # terminals that no text has
 _BRACKETS = {"(", ")", "[", "]", "{", "}", END}
 
 
@@ -31,10 +33,10 @@ class Node:
 class Column:
     """A chart column: descriptors that stand behind the terminal just taken."""
 
-    __slots__ = ("items", "after", "ends")
+    __slots__ = ("items", "after", "ends", "any", "close", "cost", "small")
 
     def __init__(self, items, ends):
-        self.items, self.ends, self.after = items, ends, {}
+        self.items, self.ends, self.after, self.any, self.close, self.cost, self.small = items, ends, {}, None, None, None, None
 
 
 class Grammar:
@@ -50,6 +52,7 @@ class Grammar:
                     raise ValueError(f"no rule {s}")
         self.tables: list = [None] * len(self.edges)
         self.terminals = {s for edges in self.edges for k, s, _ in edges if k == "t"}
+        self._least = self._least_costs()
         self._pops = [self._only_pops(i) for i in range(len(self.edges))]
         self.start = start
         self._reset()
@@ -186,12 +189,18 @@ class Grammar:
         except KeyError:
             pass
         loose = terminal not in _BRACKETS
+        out = self._behind(column, lambda table: (*table.get(terminal, ()), *(table.get(ANY, ()) if loose else ())))
+        got = column.after[terminal] = self._column(out) if out else None
+        return got
+
+    def _behind(self, column: Column, chosen) -> set:
+        """Descriptors behind the edges that ``chosen`` takes from each state's table."""
         out, seen, nodes = set(), set(), self.nodes
         for state, node in column.items:
             while (state, node) not in seen:
                 seen.add((state, node))
                 table, ends = self._table(state)
-                for n, calls in (*table.get(terminal, ()), *(table.get(ANY, ()) if loose else ())):
+                for n, calls in chosen(table):
                     top = node
                     for back in calls:
                         key = (back, id(top))
@@ -205,8 +214,65 @@ class Grammar:
                 if not ends or node is None:
                     break
                 state, node = node.back, node.below
-        got = column.after[terminal] = self._column(out) if out else None
-        return got
+        return out
+
+    def any_step(self, column: Column) -> Column | None:
+        """The column behind any one terminal but the end."""
+        if column.any is None:
+            out = self._behind(column, lambda table: [x for t, edges in table.items() if t != END for x in edges])
+            column.any = self._column(out) if out else False
+        return column.any or None
+
+    def shallow(self, column: Column, most: int) -> Column:
+        """The column with the ``most`` descriptors that lack least: readings of wrong text multiply with every bracket."""
+        if len(column.items) <= most:
+            return column
+        if column.small is None:
+            column.small = self._column(set(heapq.nsmallest(most, column.items, key=lambda x: (self.finish_item(x), x[0]))))
+        return column.small
+
+    def close_step(self, column: Column) -> Column | None:
+        """The column behind one terminal that ends a rule, as a closing bracket does."""
+        if column.close is None:
+            out = set()
+            for state, node in column.items:
+                while node is not None and self._least[state] <= 1:
+                    out.add((node.back, node.below))
+                    if self._least[state] == 1:
+                        break
+                    state, node = node.back, node.below
+            out -= set(column.items)
+            column.close = self._column(out) if out else False
+        return column.close or None
+
+    def finish(self, column: Column) -> int:
+        """The least number of terminals, the end aside, that complete one of the column's descriptors."""
+        if column.cost is None:
+            column.cost = min((self.finish_item(x) for x in column.items), default=1 << 30)
+        return column.cost
+
+    def finish_item(self, item) -> int:
+        state, node = item
+        total = self._least[state]
+        while node is not None:
+            total += self._least[node.back]
+            node = node.below
+        return total
+
+    def _least_costs(self) -> list[int]:
+        """Of every state the least number of terminals up to its rule's end; the end and virtual terminals cost nothing."""
+        far = 1 << 20
+        least = [0 if s in self.final else far for s in range(len(self.edges))]
+        changed = True
+        while changed:
+            changed = False
+            for s, edges in enumerate(self.edges):
+                for kind, x, n in edges:
+                    own = 0 if kind == "e" or x in FREE else 1 if kind == "t" else least[self.start_of[x]]
+                    if own + least[n] < least[s]:
+                        least[s] = own + least[n]
+                        changed = True
+        return least
 
     def takes(self, column: Column) -> set[str]:
         out: set[str] = set()
