@@ -1,7 +1,8 @@
 """Problem 4: credentials in source code, found by subword statistics and context, and masked in place.
 
-A literal is unnatural when a public tokenizer needs many subwords for it: few characters a subword. Context decides
-what an unnatural string is: the name it is assigned to, a fallback of a setting, an authorization header, the user part
+A string is unnatural when a public tokenizer needs many subwords for it: few characters a subword. Every candidate of an
+Arrow batch is scored in one call, and none is a secret that has too many. Context decides what an unnatural string is:
+the name it is assigned to, a fallback of a setting, an authorization header, the user part
 of an address, a field of a connection string, the marks of a private key or of a vendor's token. Placeholders,
 references to a secret kept elsewhere, encrypted or hashed values, words and messages are no secrets. Masks are as long
 as what they replace and hold letters only, so offsets, quotes and escapes stay as they were.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +23,10 @@ from quernel.session import spread
 
 UNNATURAL = 2.3  # characters a subword; words of code and prose have 4 to 6
 SOME_UNNATURAL = 3.0  # enough where letters, digits and signs are mixed
-MIN_LENGTH = 6
+READABLE = 4.5  # enough for a word with a number in a password's place; nothing above is a secret
+MIN_LENGTH = 6  # of a value in a secret's place (4 in an address); shorter ones are not told from codes and flags
 
-#: Rows without any of these cannot hold a secret that the rules know.
+#: Every rule below needs one of these, so rows without any have no candidate to score.
 TRIGGER = (
     r"(?i)pass|pwd|secret|token|key|cred|auth|bearer|basic |://[^/\s:@]*:[^/\s@]+@|PRIVATE KEY|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abeoprs]-|[sr]k_live_|AIza|npm_|SG\.|eyJ|pypi-|hf_|dop_v1_|[-_][A-Za-z0-9]{16}|xoxb|glpat|\s-u\s|--user\s|'AIza"
 )
@@ -35,8 +38,9 @@ _ABOUT = re.compile(
     r"(?:hash|digest|checksum|sum|id|ids|name|names|label|field|url|uri|path|file|filename|type|kind|length|len|size|count|counts|limit|ttl|expiry|expires|expires_?in|expires_?at|header|prefix|suffix|policy|hint|form|regex|pattern|public|salt|ref|arn|version|index|input|placeholder|error|message|msg|title|description|scope|scopes|alg|algorithm|endpoint|class|column|table|offset|position|provider|reset|column_name|text|env|var|variable|source|format|fingerprint|rules?|strength)$",
     re.I,
 )
-_LITERAL = r"(?:r#*)?(?:\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
-_PIECES = rf"{_LITERAL}(?:\s*[+.,]?\s*{_LITERAL})*"
+_LITERAL = r"(?:r#*)?(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)"
+_PIECES = re.compile(rf"{_LITERAL}(?:\s*[+.,]?\s*{_LITERAL})*")
+_ANY_LITERAL = re.compile(_LITERAL)
 _KEYED = re.compile(
     # the name, perhaps quoted, in brackets or with a type; then = := : => or a call; then fallbacks of a setting
     rf"(?<![A-Za-z0-9])(?P<name>[A-Za-z0-9_.-]*{_NAME}(?:[_-]?(?:b64|base64|value|str|string|key|default|raw|plain|old|new|prod|dev|live|\d+))?)(?P<tail>[A-Za-z0-9_-]*)"
@@ -45,7 +49,7 @@ _KEYED = re.compile(
     re.I,
 )
 _FALLBACK = re.compile(rf"(?:\|\||\?\?|\bor\b|unwrap_or(?:_else)?\(|getOrDefault\(|getenv\([^()]*,|get\([^()]*,|getProperty\([^()]*,|:-)\s*(?:\|_?\|\s*)?(?P<v>{_LITERAL})")
-_WRAP = re.compile(r"^(?:concat!\s*\(|String::from\(|str\(|new\s+String\(|b(?=[\"'])|f(?=[\"'])|Buffer\.from\(|atob\(|base64\.b64decode\(|\[\]byte\(|&|@|\(|\[|\{)+\s*")
+_WRAP = re.compile(r"(?:concat!\s*\(|String::from\(|str\(|new\s+String\(|b(?=[\"'])|f(?=[\"'])|Buffer\.from\(|atob\(|base64\.b64decode\(|\[\]byte\(|&|@|\(|\[|\{)+\s*")
 _BARE = re.compile(r"[^\s\"'`,;)}\]<>]+")
 _SCHEME = re.compile(r"^(?:Bearer|Basic|Token|ApiKey|Digest|JWT)\s+", re.I)
 _USERINFO = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://(?P<user>[^\s/:@\"'`<>]*):(?P<v>[^\s/@\"'`<>]+)@(?P<host>[\w.\[\]{}$%-]+)", re.I)
@@ -86,92 +90,105 @@ def _excluded(v: str) -> bool:
     return len(v) < MIN_LENGTH or len(set(v)) < 4 or bool(_PLACEHOLDER.match(v) or _REFERENCE.match(v) or _SEALED.match(v)) or "://" in v[:12]
 
 
-def is_secret(v: str, password: bool, path: str = DEFAULT_FILE) -> bool:
-    """Whether a value in a secret's place is one. ``password``: made-up words with digits count, too."""
+Test = Callable[[float], bool]
+
+
+def secret_test(v: str, password: bool) -> tuple[str, Test] | None:
+    """The string to score and the test of its characters a subword, for a value in a secret's place; None where no score
+    could make it one. ``password``: made-up words with digits count, too."""
     v = _SCHEME.sub("", v.strip())
     if _excluded(v) or re.search(r"\s", v):
-        return False
+        return None
     low, up, digit, sign = _classes(v)
-    ratio = chars_per_subword([v], path)[0]
     kinds = low + up + digit + sign
     if re.fullmatch(r"[A-Za-z0-9+/_-]{8,}={1,2}", v):  # base64: what it holds decides, if that is text
         try:
             inner = base64.b64decode(v.replace("-", "+").replace("_", "/"), validate=True).decode("ascii")
             if inner.isprintable() and (_PLACEHOLDER.match(inner) or _REFERENCE.match(inner)):
-                return False
+                return None
         except ValueError:
             pass
-    if _WORDS.match(v) and re.search(r"[ _./:,-]", v):  # a path or a compound of words and numbers
-        return False
-    if ratio <= UNNATURAL and len(v) >= 8 and (kinds >= 2 or digit):
-        return not (re.fullmatch(r"[\d.,:+-]+", v) or re.fullmatch(r"\W+", v))
-    if _WORDS.match(v) and not password:
-        return kinds >= 3 and ratio <= SOME_UNNATURAL and len(v) >= 12 and not re.search(r"[/ ]", v)
-    if re.search(r"[{}()\[\]<>|\\ ]", v) and ratio > UNNATURAL:
+    words = bool(_WORDS.match(v))
+    if words and re.search(r"[ _./:,-]", v):  # a path or a compound of words and numbers
+        return None
+
+    def test(ratio: float) -> bool:
+        if ratio > READABLE:
+            return False
+        if ratio <= UNNATURAL and len(v) >= 8 and (kinds >= 2 or digit):
+            return not (re.fullmatch(r"[\d.,:+-]+", v) or re.fullmatch(r"\W+", v))
+        if words and not password:
+            return kinds >= 3 and ratio <= SOME_UNNATURAL and len(v) >= 12 and not re.search(r"[/ ]", v)
+        if re.search(r"[{}()\[\]<>|\\ ]", v) and ratio > UNNATURAL:
+            return False
+        if digit and (low or up) and "/" not in v:
+            if sign and re.search(r"[^\w./:-]", v):  # a sign that names and paths do not have
+                return sum(c.isalpha() for c in v) >= 3 and len(v) >= 8
+            if password and not re.fullmatch(r"[A-Za-z]+(?:[-_.:][A-Za-z]+)*[-_.:]v?\d+(?:\.\d+)*", v):
+                return kinds >= 3 or ratio <= SOME_UNNATURAL or bool(re.fullmatch(r"[A-Za-z]+\d{2,}", v))
+            return ratio <= SOME_UNNATURAL and kinds >= 3
         return False
-    if digit and (low or up) and "/" not in v:
-        letters = sum(c.isalpha() for c in v)
-        if sign and re.search(r"[^\w./:-]", v):  # a sign that names and paths do not have
-            return letters >= 3 and len(v) >= 8
-        if password and not re.fullmatch(r"[A-Za-z]+(?:[-_.:][A-Za-z]+)*[-_.:]v?\d+(?:\.\d+)*", v):
-            return kinds >= 3 or ratio <= SOME_UNNATURAL or (len(v) >= 6 and bool(re.fullmatch(r"[A-Za-z]+\d{2,}", v)))
-        return ratio <= SOME_UNNATURAL and kinds >= 3
-    return False
+
+    return v, test
+
+
+def is_secret(v: str, password: bool, path: str = DEFAULT_FILE) -> bool:
+    """Whether a value in a secret's place is one."""
+    got = secret_test(v, password)
+    return got is not None and got[1](chars_per_subword([got[0]], path)[0])
 
 
 def _literal_spans(text: str, at: int) -> list[tuple[int, int]]:
     """Inner spans of the literals in ``text``, moved by ``at``."""
     out = []
-    for m in re.finditer(_LITERAL, text):
-        a = m.start() + re.match(r"(?:r#*)?", m.group()).end() + 1
-        out.append((at + a, at + m.end() - 1))
+    for m in _ANY_LITERAL.finditer(text):
+        raw = len(re.match(r"(?:r#*)?", m.group()).group())
+        quote = 3 if m.group()[raw : raw + 3] in ('"""', "'''") else 1
+        out.append((at + m.start() + raw + quote, at + m.end() - quote))
     return out
 
 
-def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
-    """Character spans of the secrets in a text, in order; a secret written in several pieces has several."""
-    found: list[tuple[int, int]] = []
+def candidates(code: str) -> list[tuple[str, Test, list[tuple[int, int]]]]:
+    """What may be a secret by its context: the string to score, the test of its score, and its character spans; a secret
+    written in several pieces has several."""
+    found: list[tuple[str, Test, list[tuple[int, int]]]] = []
     value = lambda spans: "".join(code[a:b] for a, b in spans)
+    at_most = lambda bound: lambda ratio: ratio <= bound
+
+    def put(v: str, password: bool, spans: list[tuple[int, int]], bound: float = READABLE) -> None:
+        if got := secret_test(v, password):
+            found.append((got[0], lambda ratio, test=got[1]: ratio <= bound and test(ratio), spans))
 
     for m in _PEM.finditer(code):
         body = re.sub(r"\\[nr]|[\s\"'`+,#/*]|//", "", m.group("v"))
         if "ENCRYPTED" in m.group("k") or "ENCRYPTED" in m.group("v"):
             continue
         run = max(re.findall(r"[A-Za-z0-9+/=]+", body), key=len, default="")
-        if len(run) >= 32 and len(set(run)) > 12 and chars_per_subword([run[:200]], path)[0] <= UNNATURAL:
+        if len(run) >= 32 and len(set(run)) > 12:
             a = m.start("v")
-            found += [(a + x.start(), a + x.end()) for x in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{4,}|(?<=\\n)[A-Za-z0-9+/=]{4,}", m.group("v"))]
+            found.append((run, at_most(UNNATURAL), [(a + x.start(), a + x.end()) for x in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{4,}|(?<=\\n)[A-Za-z0-9+/=]{4,}", m.group("v"))]))
     for m in _VENDOR.finditer(code):
         rest = _STEM.sub("", m.group("v"))
-        if not _PLACEHOLDER.match(rest) and len(set(rest)) >= 6 and chars_per_subword([rest], path)[0] <= SOME_UNNATURAL:
-            found.append(m.span("v"))
+        if not _PLACEHOLDER.match(rest) and len(set(rest)) >= 6:
+            found.append((rest, at_most(SOME_UNNATURAL), [m.span("v")]))
     for m in _TOKENISH.finditer(code):
-        end = re.split(r"[-_]", m.group("v"))[-1]
-        if chars_per_subword([end], path)[0] <= UNNATURAL and not _PLACEHOLDER.match(m.group("v")):
-            found.append(m.span("v"))
+        if not _PLACEHOLDER.match(m.group("v")):
+            found.append((re.split(r"[-_]", m.group("v"))[-1], at_most(UNNATURAL), [m.span("v")]))
     for m in _JOINED.finditer(code):
-        if "," in re.sub(_LITERAL, "", m.group()) and not re.search(r"concat!?\s*\(\s*$", code[max(0, m.start() - 12) : m.start()]):
+        if "," in _ANY_LITERAL.sub("", m.group()) and not re.search(r"concat!?\s*\(\s*$", code[max(0, m.start() - 12) : m.start()]):
             continue
         spans = _literal_spans(m.group(), m.start())
         v = value(spans)
-        hit = _VENDOR.fullmatch(v) or _TOKENISH.fullmatch(v)
-        if hit and not _PLACEHOLDER.match(v) and chars_per_subword([re.split(r"[-_]", v)[-1]], path)[0] <= SOME_UNNATURAL:
-            found += [x for x in spans if x[1] > x[0]]
+        if (_VENDOR.fullmatch(v) or _TOKENISH.fullmatch(v)) and not _PLACEHOLDER.match(v):
+            found.append((re.split(r"[-_]", v)[-1], at_most(SOME_UNNATURAL), [x for x in spans if x[1] > x[0]]))
     for m in _USERINFO.finditer(code):
         v = m.group("v")
         if not (_PLACEHOLDER.match(v) or _REFERENCE.match(v) or _SEALED.match(v)) and len(v) >= 4 and v.lower() != m.group("user").lower():
             low, up, digit, sign = _classes(v)
-            if digit or (sign and low) or chars_per_subword([v], path)[0] <= UNNATURAL:
-                found.append(m.span("v"))
-    for m in _FIELD.finditer(code):
-        if is_secret(m.group("v"), True, path):
-            found.append(m.span("v"))
-    for m in _HEADER.finditer(code):
-        if is_secret(m.group("v"), False, path):
-            found.append(m.span("v"))
-    for m in _OPTION.finditer(code):
-        if is_secret(m.group("v"), True, path):
-            found.append(m.span("v"))
+            found.append((v, at_most(READABLE if digit or (sign and low) else UNNATURAL), [m.span("v")]))
+    for pattern, password in ((_FIELD, True), (_HEADER, False), (_OPTION, True)):
+        for m in pattern.finditer(code):
+            put(m.group("v"), password, [m.span("v")])
     at = 0
     while m := _KEYED.search(code, at):
         at = m.end("op")
@@ -186,18 +203,17 @@ def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
         op = m.group("op")
         spans: list[tuple[int, int]] = []
         f = _FALLBACK.search(rest)
-        wrapped = _WRAP.match(rest)
-        head = wrapped.end() if wrapped else 0
-        pieces = re.match(_PIECES, rest[head:], re.S)
+        wrapped = _WRAP.match(code, start)  # a bracket may open on this line and the literals stand on the next ones
+        head = wrapped.end() - start if wrapped else 0
+        pieces = _PIECES.match(code, start + head)
         if f:
             spans = _literal_spans(f.group("v"), start + f.start("v"))
         elif pieces:
             text = pieces.group()
             parts = _literal_spans(text, start + head)
-            if "concat!" in rest[:head] or re.search(r"[\"'`]\s*[+.]\s*[\"'`]", text) or len(parts) == 1:
-                spans = parts
-            else:
-                spans = parts[:1]
+            between = _ANY_LITERAL.sub("", text)
+            one = len(parts) == 1 or "concat!" in code[start : start + head] or re.search(r"[+.]", between) and "," not in between
+            spans = parts if one or "(" in code[start : start + head] and not between.strip() else parts[:1]
         elif op in ("=", ":", "is", "to", ">", ":=", " "):
             b = _BARE.match(rest, _SCHEME.match(rest).end() if _SCHEME.match(rest) else 0)
             if b and (op != ":" or rest[:1] != " " or not re.match(r"\w+\s*[=,){]|(?:the|a|an)\b", rest)):
@@ -211,19 +227,33 @@ def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
             continue
         v = value(spans)
         sch = _SCHEME.match(v)
-        if op in (" ", "to") and chars_per_subword([v], path)[0] > UNNATURAL:
-            continue
-        if is_secret(v, password and op not in ("to", ">", ",", " "), path):
-            if sch and len(spans) == 1:
-                spans = [(spans[0][0] + sch.end(), spans[0][1])]
-            found += [s for s in spans if s[1] > s[0]]
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(set(found)):
-        if merged and a < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        if sch and len(spans) == 1:
+            spans = [(spans[0][0] + sch.end(), spans[0][1])]
+        put(v, password and op not in ("to", ">", ",", " "), [s for s in spans if s[1] > s[0]], UNNATURAL if op in (" ", "to") else READABLE)
+    return found
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(set(spans)):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            merged.append((a, b))
-    return merged
+            out.append((a, b))
+    return out
+
+
+def find_all(texts: list[str], path: str = DEFAULT_FILE) -> list[list[tuple[int, int]]]:
+    """Character spans of the secrets in every text, in order; all candidates are scored in one call."""
+    found = [candidates(t) for t in texts]
+    values = list(dict.fromkeys(v for c in found for v, _, _ in c))
+    score = dict(zip(values, chars_per_subword(values, path)))
+    return [merged([s for v, test, spans in c if test(score[v]) for s in spans]) for c in found]
+
+
+def find_secrets(code: str, path: str = DEFAULT_FILE) -> list[tuple[int, int]]:
+    """Character spans of the secrets in a text, in order."""
+    return find_all([code], path)[0]
 
 
 def mask(code: str, spans: list[tuple[int, int]]) -> str:
@@ -247,8 +277,8 @@ def secret_records(chunks: DataFrame, symbols: DataFrame, redacted: bool = False
     def run(batches):
         for batch in batches:
             keep, masked = [], []
-            for i, code in enumerate(strings(batch.column(2))):
-                spans = find_secrets(code, path)
+            texts = strings(batch.column(2))
+            for i, (code, spans) in enumerate(zip(texts, find_all(texts, path))):
                 if spans:
                     keep.append(i)
                     if redacted:
