@@ -1,11 +1,12 @@
 """Problem 7: the most similar vectors of every vector, by collision-counting hashing.
 
-Rows are first spread over cells around centroids fitted on a bounded sample; every row lies in one cell and asks in
-its ``PROBES`` nearest ones, so the work grows with rows times cell size. Within a cell every random projection is a
+Rows are first spread over cells of about ``CELL_ROWS``: around centroids, and where those would be more than ``CENTRES``,
+around a second level of centroids of what the first leaves over, so that the number of cells follows the number of rows
+and the centroids stay few. All are fitted on a bounded sample; every row lies in one cell and asks in its nearest ones,
+as many as hold a ``TARGET`` share of the nearest neighbours inside the sample. Within a cell every random projection is a
 sorted array. A query opens a window around its own value in each of them, a row collides where it falls inside, and
-rows with at least ``THRESHOLD`` collisions are verified by their exact cosine. The windows widen from radius to
-radius (virtual rehashing) until the query has k verified rows within the radius. Equal vectors form one class and
-are searched once.
+rows with at least ``THRESHOLD`` collisions are verified by their cosine. The windows widen from radius to radius (virtual
+rehashing) until the query has k verified rows within the radius. Equal vectors form one class and are searched once.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ DIM = 64
 K = 5
 SAMPLE = 20_000  # rows on which the centroids are fitted
 CELL_ROWS = 1000  # rows aimed at in a cell
-MAX_CELLS = 4096
-PROBES = 6
+CENTRES = 1024  # centroids of each level at most; with both there are cells for 10^9 rows
+TARGET = 0.985  # share of the sample's neighbours that the probed cells must hold
+ASKED = 1000  # rows of the sample that measure it
+MOST_PROBES = 256
 BLOCK = 4096  # rows of a cell that one task holds on either side
-PROJECTIONS = 24
-THRESHOLD = 12
+PROJECTIONS = 16
+THRESHOLD = 8
 RADII = (0.2, 0.4, 0.56, 0.8, 1.1)  # Euclidean distances of unit vectors: cosine 0.98, 0.92, 0.84, 0.68, 0.4
 WINDOW = 1.1  # half a window's width as a multiple of the radius
 
@@ -119,43 +122,95 @@ def collision_knn(q: np.ndarray, d: np.ndarray, k: int, least: float, seed: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+class Cells:
+    """Cells around centroids on one level or two."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        first = max(1, min(cells, CENTRES, len(sample)))
+        self.first = fit_centroids(sample, first).astype(np.float32)
+        self.second = np.zeros((1, sample.shape[1]), np.float32)
+        if cells > first:
+            own = (sample.astype(np.float32) @ self.first.T).argmax(axis=1)
+            rest = sample - self.first[own]
+            self.second = fit_means(rest, min(CENTRES, -(-cells // first))).astype(np.float32)
+        self.probes = 1
+
+    def __len__(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def nearest(self, u: np.ndarray, most: int) -> np.ndarray:
+        """The nearest cells of every row, the own one first."""
+        u = u.astype(np.float32)
+        wide = min(most, len(self.first))
+        sims = u @ self.first.T
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :wide]
+        if len(self.second) == 1:
+            return top.astype(np.int64)
+        out = np.empty((len(u), min(most, wide * len(self.second))), np.int64)
+        square = (self.second * self.second).sum(axis=1)
+        for i in range(len(u)):
+            rest = u[i] - self.first[top[i]]
+            far = (rest * rest).sum(axis=1)[:, None] - 2 * rest @ self.second.T + square
+            best = np.argsort(far.ravel(), kind="stable")[: out.shape[1]]
+            out[i] = top[i][best // len(self.second)] * len(self.second) + best % len(self.second)
+        return out
+
+    def measure(self, sample: np.ndarray, k: int, target: float) -> int:
+        """The fewest probes that hold the target share of the neighbours inside the sample."""
+        asked = sample[: min(ASKED, len(sample))]
+        sims = asked @ sample.T
+        sims[np.arange(len(asked)), np.arange(len(asked))] = -2
+        near = np.argpartition(-sims, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(asked), 0), np.int64)
+        most = min(MOST_PROBES, len(self))
+        order, own = self.nearest(asked, most), self.nearest(sample, 1)[:, 0]
+        place = (order[:, None, :] == own[near][:, :, None]).argmax(axis=2) if near.size else np.zeros(0)
+        met = (order[:, None, :] == own[near][:, :, None]).any(axis=2) if near.size else np.zeros(0, bool)
+        share = np.array([(met & (place < n)).mean() if met.size else 1.0 for n in range(1, most + 1)])
+        self.probes = int(np.argmax(share >= target)) + 1 if (share >= target).any() else most
+        return self.probes
+
+
+def fit_means(x: np.ndarray, n: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
+    """Plain k-means."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(n, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (2 * x @ c.T - (c * c).sum(axis=1)).argmax(axis=1)
+        sums, count = np.zeros_like(c), np.bincount(own, minlength=len(c))
+        np.add.at(sums, own, x)
+        c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
+    return c
+
+
 def _class_neighbours(classes: DataFrame, k: int, least: float) -> DataFrame:
     """a, b, sim: up to k other classes of every class."""
     n = classes.count()
-    cells = int(min(MAX_CELLS, max(1, n // CELL_ROWS)))
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("vector").toPandas()["vector"]
-    centres = fit_centroids(_unit(sample), cells).astype(np.float32) if n else np.zeros((1, DIM), np.float32)
+    unit = _unit(sample) if n else np.zeros((1, DIM))
+    cells = Cells(unit, max(1, n // CELL_ROWS))
+    probes = cells.measure(unit, k, TARGET)
 
     def place(batches):
         for p in batches:
-            u = _unit(p["vector"]) if len(p) else np.zeros((0, centres.shape[1]))
-            near = np.argsort(-(u.astype(np.float32) @ centres.T), axis=1, kind="stable")[:, :PROBES]
-            yield pd.DataFrame({"cls": p["cls"], "unit": [x.tobytes() for x in u], "near": list(near.astype(np.int32))})
-
-    placed = stage(classes.mapInPandas(place, "cls string, unit binary, near array<int>"), "knn-placed")
-    size = {r.cell: r.n for r in placed.groupBy(F.col("near")[0].alias("cell")).agg(F.count("*").alias("n")).collect()}
-    asks = {r.cell: r.n for r in placed.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    blocks = {c: -(-m // BLOCK) for c, m in size.items()}  # at most MAX_CELLS entries
-    lanes_of = {c: -(-asks.get(c, 0) // (PROBES * BLOCK)) or 1 for c in blocks}
-    table = lambda d: F.create_map(*[F.lit(x) for kv in (d or {0: 1}).items() for x in kv])
-    parts, tracks = table(blocks), table(lanes_of)
+            u = _unit(p["vector"]) if len(p) else np.zeros((0, cells.first.shape[1]))
+            yield pd.DataFrame({"cls": p["cls"], "unit": [x.tobytes() for x in u.astype(np.float32)], "near": list(cells.nearest(u, probes))})
+
+    placed = stage(classes.mapInPandas(place, "cls string, unit binary, near array<bigint>"), "knn-placed")
+    # blocks and lanes of every cell: a query goes to every block of its cells; a cell's queries are dealt over lanes of
+    # bounded size, and its blocks to every lane, so a task holds a bounded number of either
+    size = placed.groupBy(F.col("near")[0].alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    asks = placed.select(F.explode("near").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / (8 * BLOCK)).cast("int").alias("lanes"))
+    parts = stage(size.join(asks, "cell"), "knn-cells")
     salt = F.xxhash64("cls")
-    data = placed.select("cls", "unit", F.col("near")[0].alias("cell")).select(
-        "cls", "unit", "cell", F.pmod(salt, parts[F.col("cell")]).cast("int").alias("block"), F.lit(False).alias("asks")
-    )
-    # a query goes to every block of its cells; a cell's queries are dealt over lanes of bounded size, and its blocks to
-    # every lane, so a task holds a bounded number of either
-    asked = placed.select("cls", "unit", F.explode("near").alias("cell"))
-    asked = asked.where(parts[F.col("cell")].isNotNull()).select(
-        "cls", "unit", "cell", F.explode(F.sequence(F.lit(0), parts[F.col("cell")] - 1)).alias("block"), F.lit(True).alias("asks")
-    )
-    asked = asked.withColumn("lane", F.pmod(F.xxhash64("cls", F.lit(1)), tracks[F.col("cell")]).cast("int"))
-    data = data.withColumn("lane", F.explode(F.sequence(F.lit(0), tracks[F.col("cell")] - 1)))
+    data = placed.select("cls", "unit", F.col("near")[0].alias("cell")).join(parts, "cell")
+    data = data.select("cls", "unit", "cell", F.pmod(salt, "blocks").cast("int").alias("block"), F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"))
+    asked = placed.select("cls", "unit", F.explode("near").alias("cell")).join(parts, "cell").withColumn("lane", F.pmod(F.xxhash64("cls", F.lit(1)), "lanes").cast("int"))
+    asked = asked.select("cls", "unit", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "lane")
     both = asked.unionByName(data)
 
     def search(p: pd.DataFrame) -> pd.DataFrame:
         asks = p["asks"].to_numpy()
-        read = lambda s: np.frombuffer(b"".join(s), dtype=np.float64).reshape(len(s), -1)
+        read = lambda s: np.frombuffer(b"".join(s), dtype=np.float32).reshape(len(s), -1).astype(np.float64)
         q, d = p[asks], p[~asks]
         if not len(q) or not len(d):
             return pd.DataFrame({"a": [], "b": [], "sim": []})
@@ -187,7 +242,7 @@ def neighbour_table(points: DataFrame, k: int = K, least: float = -1.0, dim: int
     pairs = members.join(reach, "cls").where(F.col("id") != F.col("neighbour"))
     best = Window.partitionBy("id").orderBy(F.desc("sim"), "neighbour")
     ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias("point"), "neighbour", "rank", F.round("sim", 9).alias("sim"))
+    return ranked.select(F.col("id").alias("point"), "neighbour", "rank", F.round("sim", 6).alias("sim"))
 
 
 def similar_vectors(points: DataFrame, k: int = K, least: float = 0.85, dim: int = DIM) -> DataFrame:

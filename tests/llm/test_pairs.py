@@ -124,3 +124,22 @@ def test_copies_outdated_and_invalid_rows(spark):
     assert set(got) == {f"c{i}" for i in range(9)}
     assert [n for _, n in sorted(got["c8"])] == ["c0", "c1", "c2", "c3", "c4"] and [n for _, n in sorted(got["c0"])] == ["c1", "c2", "c3", "c4", "c5"]
     assert vector_knn.similar_vectors(df.limit(0)).count() == 0
+
+
+def test_two_levels_of_cells_keep_recall(spark, monkeypatch):
+    """More cells than one level of centroids holds: a second level parts them, and the probes still meet the target."""
+    monkeypatch.setattr(vector_knn, "CELL_ROWS", 25)
+    monkeypatch.setattr(vector_knn, "CENTRES", 8)
+    rng = np.random.default_rng(4)
+    x = (rng.standard_normal((40, 64))[rng.integers(0, 40, 1500)] + 0.5 * rng.standard_normal((1500, 64))).astype(np.float32)
+    cells = vector_knn.Cells(vector_knn._unit(list(x)), 60)
+    assert len(cells.first) == 8 and len(cells) >= 60
+    near = cells.nearest(vector_knn._unit(list(x)), 5)
+    assert near.shape == (1500, 5) and (near[:, 0] == cells.nearest(vector_knn._unit(list(x)), 1)[:, 0]).mean() > 0.9
+    df = spark.createDataFrame([(f"{i:04}", v.tolist(), None) for i, v in enumerate(x)], "id string, vector array<float>, upserted_at timestamp")
+    u = vector_knn._unit(list(x))
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    true = {(f"{i:04}", f"{j:04}") for i in range(1500) for j in np.argsort(-sims[i])[:5]}
+    got = {(r.point, r.neighbour) for r in vector_knn.neighbour_table(df).collect()}
+    assert len(true & got) >= 0.95 * len(true)
