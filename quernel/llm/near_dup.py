@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernel.llm.tokens import strings
-from quernel.session import spread, stage
+from quernel.session import drop_stages, spread, stage
 
 COORDS = 20
 MATCHES = 5
@@ -73,12 +73,12 @@ def triple_sets(texts: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarra
 
 
 def signatures(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """The value of every coordinate, one row for each text."""
-    out = np.empty((len(first) - 1, COORDS), np.uint32)
+    """The 64-bit value of every coordinate, one row for each text: minima of large collections lie close together, so that
+    fewer bits would let strangers collide."""
+    out = np.empty((len(first) - 1, COORDS), np.uint64)
     for k in range(COORDS):
-        v = (hashes * _SEEDS[0, k] + _SEEDS[1, k]) >> np.uint64(32)
-        out[:, k] = np.minimum.reduceat(v, first[:-1])
-    return out.view(np.int32)
+        out[:, k] = np.minimum.reduceat(_mix(hashes * _SEEDS[0, k] + _SEEDS[1, k]), first[:-1])
+    return out.view(np.int64)
 
 
 def _signed(chunks: DataFrame, min_words: int) -> DataFrame:
@@ -88,7 +88,7 @@ def _signed(chunks: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             index, first, t = triple_sets(strings(batch.column(1)), min_words)
-            sig = signatures(first, t) if len(index) else np.zeros((0, COORDS), np.int32)
+            sig = signatures(first, t) if len(index) else np.zeros((0, COORDS), np.int64)
             raw = t.tobytes()
             cls = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
             yield pa.RecordBatch.from_arrays(
@@ -103,11 +103,11 @@ def _signed(chunks: DataFrame, min_words: int) -> DataFrame:
             )
 
     rows = chunks.where(F.col("kind").isin("function", "method") & F.col("code").isNotNull() & F.col("id").isNotNull())
-    return spread(rows.select("id", "code"), "id").mapInArrow(run, "id string, cls binary, key bigint, sig array<int>, triples array<int>")
+    return spread(rows.select("id", "code"), "id").mapInArrow(run, "id string, cls binary, key bigint, sig array<bigint>, triples array<int>")
 
 
 def _prefixes(classes: DataFrame) -> DataFrame:
-    """key and its rarest COORDS - MATCHES + MET coordinate-value pairs, as the coordinate above 32 bits of value."""
+    """key and its rarest COORDS - MATCHES + MET coordinate-value pairs, each as one 64-bit hash of both."""
     pairs = classes.select(F.posexplode("sig").alias("k", "v"))
     counted = pairs.groupBy(F.pmod(F.xxhash64("k", "v"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
     # Only counters clearly above the mean tell long lists; at most 1 in 4 can be, and no row of the corpus is left out.
@@ -120,7 +120,7 @@ def _prefixes(classes: DataFrame) -> DataFrame:
         import pandas as pd
 
         for p in batches:
-            sig = np.array(list(p["sig"]), np.int32).reshape(len(p), COORDS).view(np.uint32).astype(np.int64)
+            sig = np.array(list(p["sig"]), np.int64).reshape(len(p), COORDS).view(np.uint64)
             slots = np.array(list(p["slots"]), np.int64).reshape(len(p), COORDS)
             known = weights.value
             n = np.zeros(slots.shape, np.int64)
@@ -128,8 +128,8 @@ def _prefixes(classes: DataFrame) -> DataFrame:
                 keys, counts = np.array(sorted(known)), np.array([known[x] for x in sorted(known)])
                 at = np.minimum(np.searchsorted(keys, slots), len(keys) - 1)
                 n = np.where(keys[at] == slots, counts[at], 0)
-            sig |= np.arange(COORDS, dtype=np.int64) << 32
-            order = np.lexsort((sig, _mix(sig.view(np.uint64)), n), axis=1)[:, :width]
+            sig = _mix(sig ^ _SEEDS[1]).view(np.int64)
+            order = np.lexsort((sig, n), axis=1)[:, :width]
             yield pd.DataFrame({"key": p["key"], "prefix": list(np.take_along_axis(sig, order, axis=1))})
 
     slots = F.transform("sig", lambda v, k: F.pmod(F.xxhash64(k, v), F.lit(SLOTS)).cast("int"))
@@ -143,11 +143,12 @@ def class_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a, b = posted.select(F.col("key").alias("x"), "pair"), posted.select(F.col("key").alias("y"), "pair")
     met = a.join(b, "pair").where(F.col("x") < F.col("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
     met = met.where(F.col("n") >= MET).select("x", "y")
-    left = classes.select(F.col("key").alias("x"), F.col("cls").alias("a"), F.col("sig").alias("sa"), F.col("triples").alias("ta"))
-    right = classes.select(F.col("key").alias("y"), F.col("cls").alias("b"), F.col("sig").alias("sb"), F.col("triples").alias("tb"))
-    rows = met.join(left, "x").join(right, "y")
+    # the signatures decide first; only what they let through meets its triples
+    left = classes.select(F.col("key").alias("x"), F.col("cls").alias("a"), F.col("sig").alias("sa"))
+    right = classes.select(F.col("key").alias("y"), F.col("cls").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda n, z: n + z)
-    rows = rows.where(agree >= MATCHES)
+    rows = met.join(left, "x").join(right, "y").where(agree >= MATCHES).select("a", "b")
+    rows = rows.join(classes.select(F.col("cls").alias("a"), F.col("triples").alias("ta")), "a").join(classes.select(F.col("cls").alias("b"), F.col("triples").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     rows = rows.select("a", "b", both.alias("both"), (F.size("ta") + F.size("tb")).alias("sizes"))
     sim = F.col("both") / (F.col("sizes") - F.col("both"))
@@ -182,18 +183,20 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Every round is written to the shared folder; labels never gather on the driver.
     """
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    labels = stage(nodes.select("node", F.col("node").alias("label")), "cc-0")
+    held = stage(nodes.select("node", F.col("node").alias("label")), "cc-0")
+    labels = held
     for turn in range(1, 64):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("least"))
         new = labels.join(near, labels.node == near.a, "left").select("node", "label", F.least("label", "least").alias("next"))
-        new = stage(new, f"cc-{turn}a")
-        up = new.select(F.col("node").alias("at"), F.col("next").alias("up"))
+        half = stage(new, f"cc-{turn}a")
+        up = half.select(F.col("node").alias("at"), F.col("next").alias("up"))
         new = stage(
-            new.join(up, new.next == up.at, "left").select("node", F.col("label").alias("old"), F.least("next", "up").alias("label")), f"cc-{turn}b"
+            half.join(up, half.next == up.at, "left").select("node", F.col("label").alias("old"), F.least("next", "up").alias("label")), f"cc-{turn}b"
         )
+        drop_stages(nodes.sparkSession, held, half)
         if new.where(F.col("old") != F.col("label")).isEmpty():
             return new.select("node", "label")
-        labels = new.select("node", "label")
+        held, labels = new, new.select("node", "label")
     raise RuntimeError("labels did not settle")
 
 
