@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,18 @@ BLOCK = 4  # lines on either side of a gap
 DIMS = 64  # hashed word counts of a line
 MAX_CONFIGS = 1000
 _WORD = re.compile(rb"[A-Za-z_]\w+")
+_ASIAN = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"
+#: Words of texts beyond ASCII; of scripts without spaces every character is one.
+_WIDE = re.compile(rf"[{_ASIAN}]|(?:(?![{_ASIAN}])[^\W\d])(?:(?![{_ASIAN}])\w)+")
 _SPACE = b" \t\n\r\f\v"
 
 
+def line_words(line: bytes) -> list[bytes]:
+    if line.isascii():
+        return _WORD.findall(line)
+    return [w.encode() for w in _WIDE.findall(line.decode("utf-8", "ignore"))]
+
+
 def gap_depths(lines: list[bytes]) -> np.ndarray:
     """Depth of the valley at the end of every line but the last; 0 where there is none."""
     n = len(lines)
@@ -32,7 +42,7 @@ def gap_depths(lines: list[bytes]) -> np.ndarray:
         return np.zeros(0)
     where, what = [], []
     for i, line in enumerate(lines):
-        for w in _WORD.findall(line):
+        for w in line_words(line):
             where.append(i)
             what.append(zlib.crc32(w) % DIMS)
     counts = np.bincount(np.array(where, np.int64) * DIMS + np.array(what, np.int64), minlength=n * DIMS) if where else np.zeros(n * DIMS)
@@ -54,6 +64,19 @@ def gap_depths(lines: list[bytes]) -> np.ndarray:
     return climb_l + climb_r - 2 * sim
 
 
+@lru_cache(maxsize=2)
+def boundaries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the lines of a text and the depths of the valleys there; they are the same for every size limit."""
+    lines = data.splitlines(keepends=True) if b"\r" in data else [x + b"\n" for x in data.split(b"\n")]
+    if b"\r" not in data:
+        lines[-1] = lines[-1][:-1]
+        if not lines[-1]:
+            lines.pop()
+    depth = np.append(gap_depths(lines), 0.0)
+    depth[np.array([not x.strip() for x in lines])] += 0.25  # a blank line is a boundary of its own
+    return np.cumsum([len(x) for x in lines]), depth
+
+
 def cut_spans(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Byte spans of the pieces: ordered, at most ``limit`` long, covering all, each beginning ``overlap`` bytes
     before the end of the one before (later only to keep a character whole)."""
@@ -63,15 +86,7 @@ def cut_spans(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
     if size <= limit:
         return [(0, size)]
     overlap = max(0, min(overlap, limit - 4))
-    lines = data.splitlines(keepends=True) if b"\r" in data else [x + b"\n" for x in data.split(b"\n")]
-    if b"\r" not in data:
-        lines[-1] = lines[-1][:-1]
-        if not lines[-1]:
-            lines.pop()
-    ends = np.cumsum([len(x) for x in lines])
-    depth = np.append(gap_depths(lines), 0.0)
-    blank = np.array([not x.strip() for x in lines])
-    depth[blank] += 0.25  # a blank line is a boundary of its own
+    ends, depth = boundaries(data)
 
     def whole(at: int, low: int) -> int:
         """The last character boundary at or before ``at``."""
@@ -85,13 +100,11 @@ def cut_spans(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
         if most >= size:
             return [*spans, (start, size)]
         cut = 0
-        for low in (max(done, start + limit // 2), done):
-            a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, most, "right")
-            if b > a:
-                best = depth[a:b]
-                cut = int(ends[a + len(best) - 1 - int(np.argmax(best[::-1]))])
-                break
-        if not cut:
+        a, b = np.searchsorted(ends, done, "right"), np.searchsorted(ends, most, "right")
+        if b > a:  # the deepest valley of the whole window, of equal ones the last
+            best = depth[a:b]
+            cut = int(ends[a + len(best) - 1 - int(np.argmax(best[::-1]))])
+        else:
             k = most
             while k > done + 1 and data[k - 1] not in _SPACE:
                 k -= 1

@@ -117,3 +117,11 @@ def test_curriculum_moves_weights(spark):
     late = [r for r in rows if r.position > 0.8]
     share = lambda x: np.mean([r.source == "a" for r in x])
     assert share(early) > 0.6 and share(late) < 0.4 and len(rows) == 2000
+
+
+def test_valleys_in_other_scripts():
+    """Texts without spaces have valleys, too, and the deepest of the whole window is taken."""
+    a, b = "猫が庭で魚を食べる。猫は庭が好き。\n" * 6, "船が海で風を受ける。船は海を渡る。\n" * 10
+    data = (a + b).encode()
+    spans = splitting.cut_spans(data, len(a.encode()) * 2, 0)
+    assert spans[0] == (0, len(a.encode()))
