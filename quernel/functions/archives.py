@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions import detect, markup
+from quernel.functions import chunking, detect, markup
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -140,15 +140,24 @@ def binary_text(files: DataFrame) -> DataFrame:
 
 
 def archive_members(files: DataFrame) -> DataFrame:
-    """archive, path, content of the text documents in the archives of a table (path, content binary); not recursive."""
+    """archive, path, content of the text documents in the archives of a table (path, content binary), with its repo,
+    branch and commit where it has them; not recursive."""
+    extra = [c for c in ("repo", "branch", "commit") if c in files.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for path, fmt, content in p[["path", "format", "content"]].itertuples(index=False):
+            for path, fmt, content, *rest in p[["path", "format", "content", *extra]].itertuples(index=False):
                 got = members(content, fmt)
                 if got:
-                    yield pd.DataFrame({"archive": [path] * len(got), "path": [m for m, _ in got], "content": [c.decode("utf-8", "replace") for _, c in got]})
+                    yield pd.DataFrame({"archive": [path] * len(got), "path": [m for m, _ in got], "content": [c.decode("utf-8", "replace") for _, c in got]} | {c: [v] * len(got) for c, v in zip(extra, rest)})
 
     rows = files.withColumn("format", detect.document_format("path")).where(F.col("format").isin(detect.ARCHIVE_FORMATS))
-    found = rows.select("path", "format", "content").mapInPandas(run, "archive string, path string, content string")
+    schema = ", ".join(f"{c} string" for c in ("archive", "path", "content", *extra))
+    found = rows.select("path", "format", "content", *extra).mapInPandas(run, schema)
     return found.where(detect.format_tier(detect.document_format("path")) == "text")
+
+
+def archive_chunks(files: DataFrame, limit: int = chunking.MAX_SIZE, overlap: int = chunking.OVERLAP, strip: bool = True) -> DataFrame:
+    """Chunk rows of the text documents inside the archives of a table (repo, branch, commit, path, content binary), under
+    their own paths. Office files and pages inside archives give none."""
+    return chunking.document_chunks(archive_members(files), limit, overlap, strip)

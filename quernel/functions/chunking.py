@@ -7,13 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernel.functions import detect, markup
+from quernel.functions.markup import WHITE
 from quernel.schema import CHUNK_COLUMNS
 
 MAX_SIZE, OVERLAP = 2000, 200
 NEAR_START = 10  # a cut at white space this close to the start is no cut
 MAX_SIGNATURE = 80
-#: Characters that count as white space; narrower than Python's. Fixed values.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _WHITE_RE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 PIECES = "array<struct<text:string,start_line:bigint,end_line:bigint>>"
 
@@ -122,8 +121,11 @@ def content_hash(code: Column, sig: Column, file: Column, module: Column, langua
     return F.sha2(F.concat(code, sig, file, module, language), 256)
 
 
-def chunk_id(*parts: Column) -> Column:
-    """A stable id from what makes a chunk itself; the same input gives the same id in every run."""
+def chunk_id(*parts: Column, random: bool = False) -> Column:
+    """A stable id from what makes a chunk itself; the same input gives the same id in every run. ``random`` gives a new
+    UUID instead, other in every run."""
+    if random:
+        return F.uuid()
     h = F.sha2(F.concat_ws("\x1f", *parts), 256)
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
@@ -142,24 +144,25 @@ def document_text(path: Column | str, content: Column | str, strip: bool = True)
     return F.when(fmt == "markdown", plain).when(fmt == "xml", markup.strip_xml(c)).when(fmt.isin(detect.TEXT_FORMATS), c)
 
 
-def document_chunks(files: DataFrame, limit: int = MAX_SIZE, overlap: int = OVERLAP, strip: bool = True) -> DataFrame:
+def document_chunks(files: DataFrame, limit: int = MAX_SIZE, overlap: int = OVERLAP, strip: bool = True, random_ids: bool = False) -> DataFrame:
     """Chunk rows of all text documents of a table (repo, branch, commit, path, content)."""
     rows = files.where(detect.format_tier(detect.document_format("path")) == "text")
     rows = rows.withColumn("body", document_text("path", "content", strip))
     rows = rows.select("repo", "branch", "commit", "path", F.posexplode(chunk_text("body", limit, overlap)).alias("ordinal", "c"))
     text, empty = F.col("c.text"), F.lit("")
     return rows.select(
-        chunk_id(F.col("repo"), F.col("path"), F.lit("document"), F.col("ordinal").cast("string"), F.sha2(text, 256)).alias("id"),
+        chunk_id(F.col("repo"), F.col("path"), F.lit("document"), F.col("ordinal").cast("string"), F.sha2(text, 256), random=random_ids).alias("id"),
         F.sha2(text, 256).alias("content_hash"), "repo", "branch", "commit", detect.document_format("path").alias("language"), F.col("path").alias("file"),
         empty.alias("module"), empty.alias("symbol"), F.lit("document").alias("kind"), signature(text).alias("signature"), F.lit(None).cast("string").alias("doc"),
         text.alias("code"), F.col("c.start_line").alias("start_line"), F.col("c.end_line").alias("end_line"),
     )
 
 
-def symbol_chunks(symbols: DataFrame, include_docs: bool = True, include_signatures: bool = True, compat_language: bool = False) -> DataFrame:
+def symbol_chunks(symbols: DataFrame, include_docs: bool = True, include_signatures: bool = True, compat_language: bool = False, random_ids: bool = False) -> DataFrame:
     """A code chunk of every symbol and, where it is documented, a documentation chunk.
 
-    ``symbols`` has the symbol columns and repo, branch and commit. ``compat_language`` keeps the language "unknown".
+    ``symbols`` has the symbol columns and repo, branch and commit. ``compat_language`` keeps the language "unknown". The
+    hash takes in the signature even where ``include_signatures`` leaves it out of the row.
     """
     language = F.lit("unknown") if compat_language else F.coalesce("language", F.lit("unknown"))
     sig, doc = F.coalesce("signature", F.lit("")), F.coalesce("doc", F.lit(""))
@@ -167,12 +170,12 @@ def symbol_chunks(symbols: DataFrame, include_docs: bool = True, include_signatu
     file, module = F.col("file_path"), F.coalesce("module_path", F.lit(""))
 
     def row(kind: Column, code: Column, s: Column, end: Column, text: Column) -> Column:
-        h = content_hash(code, s, file, module, language)
-        key = chunk_id(F.col("repo"), file, F.col("line_start").cast("string"), F.col("name"), kind, h)
+        h = content_hash(code, sig, file, module, language)
+        key = chunk_id(F.col("repo"), file, F.col("line_start").cast("string"), F.col("name"), kind, h, random=random_ids)
         values = [key, h, F.col("repo"), F.col("branch"), F.col("commit"), language, file, module, F.col("name"), kind, s, text, code, F.col("line_start"), end]
         return F.struct(*[v.alias(n) for v, n in zip(values, CHUNK_COLUMNS)])
 
-    code = row(F.col("kind"), F.col("code"), shown, F.col("line_end"), F.col("doc"))
+    code = row(F.col("kind"), F.col("code"), shown, F.col("line_end"), F.col("doc") if include_docs else F.lit(None).cast("string"))
     about = row(F.concat("kind", F.lit("_doc")), F.concat(sig, F.lit("\n"), doc), sig, F.col("line_start"), F.col("doc"))
     rows = F.array(code, F.when(doc != "", about)) if include_docs else F.array(code)
     return symbols.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("r.*")

@@ -135,3 +135,17 @@ def languages(spark: SparkSession, only: list[str] | None = None) -> DataFrame:
         raise ValueError(f"no such languages: {sorted(unknown)}")
     rows = [(k, v) for k, v in LANGUAGE_EXTENSIONS.items() if only is None or k in only]
     return spark.createDataFrame(rows, "language string, extensions array<string>")
+
+
+#: Names of the languages as they are shown. Fixed values.
+LABELS = {"javascript": "JavaScript", "typescript": "TypeScript", "cpp": "C++", "csharp": "C#", "php": "PHP", "bash": "Shell/Bash", "sql": "SQL"}
+
+
+def capabilities(spark: SparkSession) -> DataFrame:
+    """language, label, extensions and kinds of symbols of each supported language, and the line that shows them."""
+    from quernel.functions import symbols
+
+    rows = [(k, LABELS.get(k, k.capitalize()), [f".{e}" for e in v], symbols.kinds_of(k)) for k, v in LANGUAGE_EXTENSIONS.items()]
+    out = spark.createDataFrame(rows, "language string, label string, extensions array<string>, kinds array<string>")
+    ext = F.concat(F.lit("("), F.concat_ws(", ", "extensions"), F.lit(")"))
+    return out.withColumn("text", F.concat(F.rpad("label", 15, " "), F.rpad(ext, 19, " "), F.lit("- "), F.concat_ws(", ", "kinds")))

@@ -68,6 +68,14 @@ _NOT_NAMES = set("if for while switch catch return else do try new throw functio
 _KEYWORD_END = {"ruby": re.compile(r"^[ \t]*(?:def|class|module|if|unless|while|until|case|begin|for)\b|\bdo\b(?:\s*\|[^|\n]*\|)?[ \t]*$|^[ \t]*end\b|(?<![\w.])end\b", re.M), "lua": re.compile(r"\b(?:function|if|do|repeat|end|until)\b")}
 
 
+def kinds_of(language: str) -> list[str]:
+    """The kinds of symbols that are found in a language."""
+    if language == "python":
+        return ["function", "class", "method"]
+    found = [kind for _, kind in _DECLARATIONS.get(language, [])] + (["method"] if language == "rust" else [])
+    return list(dict.fromkeys(found))
+
+
 def _blank(text: str, language: str) -> str:
     """Strings and comments as spaces of the same length; line breaks stay."""
     return _BLANKER[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernel.functions import archives, chunking, detect, markup
+from quernel.operators import index
 from quernel.functions.symbols import doc_above, extract_symbols, qualified_name, symbols, with_module
 
 
@@ -33,10 +34,33 @@ def test_detection(spark):
         detect.languages(spark, ["markdown"])
 
 
+def test_markdown_cases():
+    strip = markup.strip_markdown_text
+    assert strip("[x] text") == "x text" and strip("a [open b") == "a open b" and strip("  - item\n+ other") == "item\nother"
+    assert strip("[![a](b)](c) d") == " d" and strip("[a](b(c) d") == "a" and strip("  ```py\n```\n   \n") == "  ```py\n   "
+    assert strip("##  Head_ing *\r\n~~~\n") == "Heading " and strip("") == ""
+
+
+def test_code_files_are_no_documents(spark):
+    """A file whose path tells a language gives chunks of its symbols only; the others are documents."""
+    rows = [("r", "b", "c", p, t) for p, t in (("CMakeLists.txt", "int f(int a) { return a; }\n"), ("Makefile", "all:\n\techo\n"), ("notes.txt", "Some text.\n"), ("a.py", "def f():\n    pass\n"))]
+    got = index.chunks(spark.createDataFrame(rows, "repo string, branch string, commit string, path string, content string")).collect()
+    assert {(r.file, r.kind) for r in got} == {("CMakeLists.txt", "function"), ("notes.txt", "document"), ("a.py", "function")}
+
+
+def test_random_ids_and_plain_rows(spark):
+    rows = spark.createDataFrame([("r", "b", "c", "a.py", "def f():\n    'Says it.'\n")], "repo string, branch string, commit string, path string, content string")
+    found = symbols(rows)
+    made = [chunking.symbol_chunks(found, random_ids=k).orderBy("kind").collect() for k in (False, False, True)]
+    assert made[0] == made[1] and [r.id for r in made[0]] != [r.id for r in made[2]]
+    bare = chunking.symbol_chunks(found, include_docs=False, include_signatures=False).collect()
+    assert len(bare) == 1 and bare[0].doc is None and bare[0].signature == "" and bare[0].content_hash == made[0][0].content_hash
+
+
 def test_markdown(spark):
     text = "# Head\n\n**bold** and *it* [text](http://x/(y)) ![a](u)\n- item\n```py\ncode\n```\n[open\n"
-    assert one(spark, text, markup.strip_markdown("x")) == "Head\nbold and it text !a\nitem\ncode\n[open"
-    assert markup.strip_links("[a](b(c)d) [e] (f) [g](h") == "a [e] (f) [g](h"
+    assert one(spark, text, markup.strip_markdown("x")) == "Head\nbold and it text !a\nitem\ncode\nopen"
+    assert markup.strip_links("[a](b(c)d) [e] (f) [g](h") == "a e (f) g"
 
 
 def test_xml_and_html(spark):
