@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions import chunking, embedding, symbols
+from quernel.functions import chunking, detect, embedding, symbols
 from quernel.operators import diff
-from quernel.operators.store import PointStore, delete_where, upsert
+from quernel.operators.store import PointStore
 from quernel.session import stage
 from quernel.sources.state import StateStore
 
@@ -24,6 +25,7 @@ class IndexConfig:
     include_signatures: bool = True
     strip_markdown: bool = True
     compat_language: bool = False
+    random_ids: bool = False  # a new UUID for each chunk, so that a repeated run makes other rows
     tracked_languages: list[str] | None = None
     model: str = "default"
     embedder: embedding.Embedder | None = field(default=None, compare=False)
@@ -48,11 +50,13 @@ def text_files(files: DataFrame) -> DataFrame:
 
 
 def chunks(files: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """Chunk rows of a table (repo, branch, commit, path, content): code first, then documents."""
+    """Chunk rows of a table (repo, branch, commit, path, content). A file whose path tells a language is code and gives
+    chunks of its symbols only, whatever document format its name has; the others are read as documents."""
     rows = text_files(files)
     found = symbols.symbols(rows, config.compat_language, config.tracked_languages)
-    code = chunking.symbol_chunks(found, config.include_docs, config.include_signatures, config.compat_language)
-    return code.unionByName(chunking.document_chunks(rows, config.max_chunk_size, config.overlap, config.strip_markdown))
+    code = chunking.symbol_chunks(found, config.include_docs, config.include_signatures, config.compat_language, config.random_ids)
+    rows = rows.where(detect.language_by_path("path").isNull())
+    return code.unionByName(chunking.document_chunks(rows, config.max_chunk_size, config.overlap, config.strip_markdown, config.random_ids))
 
 
 def points(chunk_rows: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
@@ -74,23 +78,23 @@ class Indexer:
         """Index a whole snapshot; the repository's earlier rows are replaced."""
         began = time.time()
         made = stage(points(chunks(files, self.config), self.config), "index-full")
-        kept = delete_where(self.store.load(), F.col("repo") == repo)
-        self.store.save(upsert(kept, made))
+        self.store.apply(made, gone=F.col("repo") == repo)
         self.state.set(repo, commit)
         return self._stats(files, made, began)
 
-    def incremental(self, old: DataFrame, new: DataFrame, repo: str, commit: str) -> IndexStats:
+    def incremental(self, old: DataFrame, new: DataFrame, repo: str, commit: str, fetch: Callable[[DataFrame], DataFrame] | None = None) -> IndexStats:
         """Index what differs between two snapshots; the first run indexes all. Rows of changed and deleted files go by
-        exact path; the state moves last."""
+        exact path; the state moves last. Where the snapshots are only listed, ``fetch`` reads the contents of the files
+        that are indexed."""
+        fetch = fetch or (lambda rows: rows)
         if self.state.get(repo) is None:
-            return self.full(new, repo, commit)
+            return self.full(fetch(new), repo, commit)
         began = time.time()
         changes = stage(diff.diff_snapshots(old, new), "index-changes")
-        fresh = new.join(changes.where(F.col("status") != "Deleted").select("path"), "path", "left_semi").withColumn("commit", F.lit(commit))
+        fresh = fetch(new.join(changes.where(F.col("status") != "Deleted").select("path"), "path", "left_semi")).withColumn("commit", F.lit(commit))
         made = stage(points(chunks(fresh, self.config), self.config), "index-fresh")
         gone = changes.where(F.col("status") != "Added").select(F.lit(repo).alias("repo"), F.col("path").alias("file"))
-        kept = self.store.load().join(gone, ["repo", "file"], "left_anti")
-        self.store.save(upsert(kept, made))
+        self.store.apply(made, gone_files=gone)
         self.state.set(repo, commit)
         return self._stats(fresh, made, began)
 
@@ -98,16 +102,10 @@ class Indexer:
         """Code chunks without vectors."""
         rows = text_files(files)
         found = symbols.symbols(rows, self.config.compat_language, self.config.tracked_languages)
-        return chunking.symbol_chunks(found, self.config.include_docs, self.config.include_signatures, self.config.compat_language)
+        return chunking.symbol_chunks(found, self.config.include_docs, self.config.include_signatures, self.config.compat_language, self.config.random_ids)
 
 
 def surviving(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of the rows that an incremental run leaves in place: those of files that did not change."""
     changes = diff.diff_snapshots(old, new, keys).where(F.col("status") != "Added")
     return old.join(changes.select(*keys), keys, "left_anti")
-
-
-def ranked_by_place(rows: DataFrame) -> DataFrame:
-    """Ordinal of every chunk within its file."""
-    order = Window.partitionBy("repo", "file").orderBy("start_line", "end_line", "id")
-    return rows.withColumn("ordinal", F.row_number().over(order) - 1)

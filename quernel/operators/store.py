@@ -1,11 +1,14 @@
 """A vector table on Parquet with upserts and deletes.
 
-Every write makes a new version folder and then moves one small pointer file, so readers see whole versions only and an
-interrupted write leaves the old one in place.
+Rows lie in buckets by repository and file. A write makes new folders for the buckets that it touches and then replaces
+one small manifest in a single step, so readers see whole versions only and an interrupted write leaves the old one in
+place. Folders that no manifest needs any more stay for a retention time, for readers that began before.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -31,12 +34,13 @@ def latest_points(points: DataFrame) -> DataFrame:
     return last.select("id", *payload, F.col("v.vector").alias("vector"), seq.alias("seq"))
 
 
-def upsert(old: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(old: DataFrame, batch: DataFrame, top: int | None = None) -> DataFrame:
     """``batch`` (id, vector, payload columns, ``seq`` its order) over ``old``: the last row of an id in the batch wins, an
-    existing row keeps its place, new ones follow after the old."""
+    existing row keeps its place, new ones follow after the old, from ``top`` on where it is given."""
     last = Window.partitionBy("id").orderBy(F.desc("seq"))
     news = batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
-    top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
+    if top is None:
+        top = old.agg(F.coalesce(F.max("seq") + 1, F.lit(0))).first()[0]
     place = old.select("id", F.col("seq").alias("__old"))
     news = news.join(place, "id", "left").withColumn("seq", F.coalesce("__old", F.lit(top) + F.col("seq"))).drop("__old")
     return old.join(news.select("id"), "id", "left_anti").unionByName(news.select(*old.columns))
@@ -60,64 +64,145 @@ def stats(points: DataFrame) -> DataFrame:
 
 @dataclass
 class PointStore:
+    """``buckets`` holds for a new store; more of them make a write of few files touch less. ``retain_hours`` is how long
+    folders stay that the current version does not need."""
+
     spark: SparkSession
     path: str
     dim: int | None = None
+    buckets: int = 64
+    retain_hours: float = 24.0
+
+    # files
 
     @property
     def _fs(self):
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return root.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path
+        path = jvm.org.apache.hadoop.fs.Path
+        return path(self.path).getFileSystem(conf), path
 
-    def _version(self) -> str | None:
+    def _manifest(self) -> dict:
+        """``parts`` (folder of each bucket), ``buckets``, ``next`` (the first free place) and ``version``."""
         fs, path = self._fs
         at = path(f"{self.path}/CURRENT")
         if not fs.exists(at):
-            return None
+            return {"version": None, "buckets": self.buckets, "next": 0, "parts": {}}
         stream = fs.open(at)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
+    def _switch(self, seen: dict, new: dict) -> None:
+        """Replace the manifest in one step; refuses when another writer was faster."""
+        fs, path = self._fs
+        jvm = self.spark._jvm
+        root = fs.makeQualified(path(self.path))
+        temp = path(root, f".CURRENT-{new['version']}")
+        out = fs.create(temp, True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        if self._manifest()["version"] != seen["version"]:
+            fs.delete(temp, False)
+            raise RuntimeError(f"{self.path} was written by another job; read it again and repeat")
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.toUri(), self.spark._jsc.hadoopConfiguration())
+        kind = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        files.rename(temp, path(root, "CURRENT"), how)
+
+    def _bucket(self, n: int) -> Column:
+        return F.pmod(F.xxhash64("repo", "file"), F.lit(n)).cast("int")
+
+    def _read(self, m: dict, only: set[int] | None = None) -> DataFrame:
+        at = [f"{self.path}/{folder}" for b, folder in m["parts"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(POINT).parquet(*at) if at else self.spark.createDataFrame([], POINT)
+
+    def _replace(self, m: dict, touched: set[int] | None, rows: DataFrame) -> None:
+        """Write ``rows`` as the new content of the touched buckets (all for None)."""
+        v = uuid.uuid4().hex
+        cols = [f.split()[0] for f in POINT.split(", ")]
+        out = rows.select(*cols, self._bucket(m["buckets"]).alias("bucket"))
+        # rebalancing splits large buckets and keeps small ones in one file
+        out.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/v-{v}")
+        fs, path = self._fs
+        made = {s.getPath().getName().split("=")[1]: f"v-{v}/{s.getPath().getName()}" for s in fs.listStatus(path(f"{self.path}/v-{v}")) if "=" in s.getPath().getName()}
+        kept = {} if touched is None else {b: f for b, f in m["parts"].items() if int(b) not in touched}
+        top = self.spark.read.schema(POINT).parquet(*[f"{self.path}/{f}" for f in made.values()]).agg(F.max("seq")).first()[0] if made else None
+        self._switch(m, {"version": v, "buckets": m["buckets"], "next": max(m["next"], -1 if top is None else top + 1), "parts": kept | made})
+        self.vacuum()
+
+    def vacuum(self, hours: float | None = None) -> int:
+        """Delete bucket folders that the current version does not need and that are older than the retention time."""
+        fs, path = self._fs
+        if not fs.exists(path(self.path)):
+            return 0
+        need = set(self._manifest()["parts"].values())
+        before, n = (time.time() - 3600 * (self.retain_hours if hours is None else hours)) * 1000, 0
+        for version in fs.listStatus(path(self.path)):
+            name = version.getPath().getName()
+            if not name.startswith("v-") or version.getModificationTime() > before:
+                continue
+            parts = [s.getPath() for s in fs.listStatus(version.getPath()) if "=" in s.getPath().getName()]
+            old = [p for p in parts if f"{name}/{p.getName()}" not in need]
+            for p in [version.getPath()] if len(old) == len(parts) else old:
+                fs.delete(p, True)
+                n += 1
+        return n
+
+    # rows
+
     def load(self) -> DataFrame:
         """The points; an absent table is an empty one."""
-        v = self._version()
-        return self.spark.read.schema(POINT).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], POINT)
+        return self._read(self._manifest())
 
     def save(self, points: DataFrame) -> None:
-        old, v = self._version(), f"v-{uuid.uuid4().hex}"
-        cols = [f.split()[0] for f in POINT.split(", ")]
-        points.select(*cols).write.parquet(f"{self.path}/{v}")
-        fs, path = self._fs
-        temp = path(f"{self.path}/.CURRENT-{v}")
-        out = fs.create(temp, True)
-        out.write(bytearray(v.encode()))
-        out.close()
-        fs.delete(path(f"{self.path}/CURRENT"), False)
-        if not fs.rename(temp, path(f"{self.path}/CURRENT")):
-            raise OSError(f"could not switch {self.path} to {v}")
-        if old:
-            fs.delete(path(f"{self.path}/{old}"), True)
+        """Replace all points."""
+        self._replace(self._manifest(), None, points)
+
+    def apply(self, batch: DataFrame | None = None, gone: Column | None = None, gone_files: DataFrame | None = None) -> None:
+        """In one new version: without the rows that fulfil ``gone`` or belong to ``gone_files`` (repo, file), and with
+        ``batch`` over the rest. Only buckets with such rows are rewritten; the others are looked at by id and file alone."""
+        m = self._manifest()
+        n, old = m["buckets"], self._read(m)
+        at = self._bucket(n).alias("bucket")
+        marks = []
+        if gone is not None:
+            marks.append(old.where(F.coalesce(gone, F.lit(False))).select(at))
+        if gone_files is not None:
+            marks.append(gone_files.select(at))
+        if batch is not None:
+            if self.dim is not None and not batch.where(F.size("vector") != self.dim).isEmpty():
+                raise ValueError(f"vectors are not of dimension {self.dim}")
+            marks += [batch.select(at), old.join(batch.select("id"), "id", "left_semi").select(at)]
+        touched: set[int] = set()
+        for x in marks:
+            touched |= {r.bucket for r in x.distinct().collect()}  # at most ``buckets`` rows
+        if not touched:
+            return
+        rows = self._read(m, touched)
+        if gone is not None:
+            rows = delete_where(rows, gone)
+        if gone_files is not None:
+            rows = rows.join(gone_files.select("repo", "file").distinct(), ["repo", "file"], "left_anti")
+        self._replace(m, touched, rows if batch is None else upsert(rows, batch, m["next"]))
 
     def upsert(self, batch: DataFrame) -> None:
-        if self.dim is not None and not batch.where(F.size("vector") != self.dim).isEmpty():
-            raise ValueError(f"vectors are not of dimension {self.dim}")
-        self.save(upsert(self.load(), batch))
+        self.apply(batch)
 
     def delete(self, id: str) -> None:
-        self.save(delete_where(self.load(), F.col("id") == id))
+        self.apply(gone=F.col("id") == id)
 
     def delete_by_filter(self, filter: SearchFilter) -> None:
-        self.save(delete_matching(self.load(), filter))
+        """Rows that match all set fields; an empty filter matches all."""
+        self.apply(gone=filter.condition())
 
     def delete_by_language(self, language: str) -> None:
         self.delete_by_filter(SearchFilter(language=language))
 
     def delete_by_file(self, file: str) -> None:
         """Rows of exactly this file; the search filter's substring match would take others with it."""
-        self.save(delete_where(self.load(), F.col("file") == file))
+        self.apply(gone=F.col("file") == file)
 
     def clear(self) -> None:
         self.save(self.spark.createDataFrame([], POINT))
@@ -133,9 +218,11 @@ class PointStore:
         return self.load().count()
 
     def stats(self) -> dict:
-        row = stats(self.load()).first()
+        """Points, dimension and bytes of the current version."""
+        m = self._manifest()
+        row = stats(self._read(m)).first()
         fs, path = self._fs
-        size = fs.getContentSummary(path(self.path)).getLength() if fs.exists(path(self.path)) else 0
+        size = sum(fs.getContentSummary(path(f"{self.path}/{f}")).getLength() for f in m["parts"].values())
         return {"points": row.points, "dimension": row.dimension, "bytes": size}
 
     def search(self, query: list[float], options: SearchOptions = SearchOptions()) -> DataFrame:

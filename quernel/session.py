@@ -7,12 +7,14 @@ cuts the lineage, survives the loss of any executor and lets later steps read on
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 256 << 20
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -49,9 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is set only where the session names none."""
+    """The folder all executors share. Where the session names none, a local session gets one of its own; on a cluster
+    that would be lost with each executor, so it is an error there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quernel-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -64,14 +69,31 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists").option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage = path
+    spark._quernel_stages = [*getattr(spark, "_quernel_stages", []), path]
+    return out
+
+
+def drop_stages(spark: SparkSession, *stages: DataFrame) -> None:
+    """Delete the folders of these stages, or of all that this session has written. Nothing that reads them may be used
+    afterwards."""
+    paths = [d._stage for d in stages] if stages else list(getattr(spark, "_quernel_stages", []))
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    spark._quernel_stages = [p for p in getattr(spark, "_quernel_stages", []) if p not in set(paths)]
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The same rows, dealt over all cores by ``keys`` where the input comes in fewer splits than there are cores, as a
-    single file of one row group does. A table of many files stays as it is, so nothing is moved at scale."""
+    """The same rows, dealt over all cores by ``keys``, where the input is small (by the optimizer's estimate at most
+    ``SPREAD_BYTES``, whatever the cluster) and comes in fewer splits than there are cores, as a single file of one row
+    group does. Anything larger is split by the reader and never moved."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    if size > SPREAD_BYTES or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:

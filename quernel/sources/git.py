@@ -9,6 +9,7 @@ from __future__ import annotations
 import subprocess
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -16,6 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from quernel.schema import CHANGE, COMMIT
 
 GROUP = 200
+GROUP_BYTES = 16 << 20  # of blobs that a task reads at once
 MAX_BLOB = 1 << 20
 _STATUS = {"A": "Added", "M": "Modified", "D": "Deleted", "R": "Renamed", "C": "Copied", "T": "Modified"}
 
@@ -25,14 +27,39 @@ def git(repo: str, *args: str, text: bool = True, data: bytes | None = None):
     return run.stdout.decode("utf-8", "replace") if text else run.stdout
 
 
+def read_blobs(repo: str, ids: list[str]) -> Iterator[bytes]:
+    """Contents of blobs, in order."""
+    raw, at = git(repo, "cat-file", "--batch", text=False, data="".join(f"{x}\n" for x in ids).encode()), 0
+    for _ in ids:
+        end = raw.index(b"\n", at)
+        size = int(raw[at:end].split()[2])
+        yield bytes(raw[end + 1 : end + 1 + size])
+        at = end + 2 + size
+
+
+def groups(entries: list[tuple], size_at: int) -> list[list[tuple]]:
+    """Entries in groups of bounded number and bytes; blobs that are not read count as nothing."""
+    out: list[list[tuple]] = [[]]
+    held = 0
+    for e in entries:
+        size = e[size_at] if e[size_at] <= MAX_BLOB else 0
+        if out[-1] and (len(out[-1]) >= GROUP or held + size > GROUP_BYTES):
+            out.append([])
+            held = 0
+        out[-1].append(e)
+        held += size
+    return out
+
+
 class _Blobs(InputPartition):
-    def __init__(self, entries: list[tuple[str, str, int]]):
+    def __init__(self, entries: list[tuple[str, str, int, int]]):
         self.entries = entries
 
 
 class GitTreeReader(DataSourceReader):
     def __init__(self, options):
         self.repo, self.rev = options["path"], options.get("rev", "HEAD")
+        self.content = options.get("content", "true").lower() != "false"
         ext = options.get("extensions", "")
         self.extensions = {x.strip().lstrip(".") for x in ext.split(",") if x.strip()}
 
@@ -42,29 +69,24 @@ class GitTreeReader(DataSourceReader):
 
     def partitions(self):
         entries = []
-        for line in git(self.repo, "ls-tree", "-r", "-z", self.rev).split("\0"):
+        for line in git(self.repo, "ls-tree", "-r", "-l", "-z", self.rev).split("\0"):
             if line:
                 head, path = line.split("\t", 1)
-                mode, kind, oid = head.split()
+                mode, kind, oid, size = head.split()
                 if kind == "blob" and self._wanted(path):
-                    entries.append((path, oid, int(mode, 8)))
-        return [_Blobs(entries[k : k + GROUP]) for k in range(0, len(entries), GROUP)] or [_Blobs([])]
+                    entries.append((path, oid, int(mode, 8), int(size)))
+        return [_Blobs(g) for g in groups(entries, 3)]
 
     def read(self, partition) -> Iterator[tuple]:
-        if not partition.entries:
-            return
-        ids = "".join(f"{oid}\n" for _, oid, _ in partition.entries).encode()
-        raw, at = git(self.repo, "cat-file", "--batch", text=False, data=ids), 0
-        for path, oid, mode in partition.entries:
-            end = raw.index(b"\n", at)
-            size = int(raw[at:end].split()[2])
-            body = raw[end + 1 : end + 1 + size]
-            at = end + 2 + size
-            yield (path, oid, mode, bytes(body) if size <= MAX_BLOB else None, size)
+        small = [oid for _, oid, _, size in partition.entries if size <= MAX_BLOB and self.content]
+        bodies = read_blobs(self.repo, small) if small else iter(())
+        for path, oid, mode, size in partition.entries:
+            yield (path, oid, mode, next(bodies) if size <= MAX_BLOB and self.content else None, size)
 
 
 class GitTree(DataSource):
-    """Options: path, rev (HEAD), extensions (a comma list; files without extension are then left out)."""
+    """Options: path, rev (HEAD), extensions (a comma list; files without extension are then left out), content (true;
+    with false the tree is only listed and content is null)."""
 
     @classmethod
     def name(cls) -> str:
@@ -77,13 +99,29 @@ class GitTree(DataSource):
         return GitTreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, repo: str, rev: str = "HEAD", extensions: list[str] | None = None) -> DataFrame:
-    """Files of a tree; blobs above 1 MiB have null content."""
+def read_tree(spark: SparkSession, repo: str, rev: str = "HEAD", extensions: list[str] | None = None, content: bool = True) -> DataFrame:
+    """Files of a tree; blobs above 1 MiB have null content and are not read, and none is without ``content``."""
     spark.dataSource.register(GitTree)
-    r = spark.read.format("git_tree").option("rev", rev)
+    r = spark.read.format("git_tree").option("rev", rev).option("content", str(content).lower())
     return (r.option("extensions", ",".join(extensions)) if extensions else r).load(repo)
 
 
+def with_content(files: DataFrame, repo: str) -> DataFrame:
+    """The rows of a listed tree with their contents, read by the tasks."""
+
+    def run(batches):
+        for p in batches:
+            rows = list(p.itertuples(index=False, name=None))
+            cols = list(p.columns)
+            oid, size, at = cols.index("blob_id"), cols.index("size_bytes"), cols.index("content")
+            for g in groups(rows, size):
+                small = [r[oid] for r in g if r[size] <= MAX_BLOB] if g else []
+                bodies = read_blobs(repo, small) if small else iter(())
+                yield pd.DataFrame([(*r[:at], next(bodies) if r[size] <= MAX_BLOB else None, *r[at + 1 :]) for r in g], columns=cols)
+
+    return files.mapInPandas(run, files.schema)
+
+
 def read_directory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files below a plain folder."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)

@@ -1,32 +1,41 @@
-"""Indexing state: the last commit and time of every repository, in a small JSON file."""
+"""Indexing state: the last commit and time of every repository, in a small JSON file on any file system."""
 
 from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
+import uuid
 from dataclasses import dataclass
 
+from pyarrow import fs as arrow_fs
+
 
 @dataclass
 class StateStore:
+    """``path`` is a local path or a URI that pyarrow knows, as of a shared folder."""
+
     path: str
 
+    @property
+    def _fs(self):
+        return arrow_fs.FileSystem.from_uri(self.path if "://" in self.path else os.path.abspath(self.path))
+
     def _read(self) -> dict:
+        fs, path = self._fs
         try:
-            with open(self.path, encoding="utf-8") as f:
-                return json.load(f)
+            with fs.open_input_stream(path) as f:
+                return json.loads(f.read())
         except FileNotFoundError:
             return {}
 
     def _write(self, data: dict) -> None:
-        folder = os.path.dirname(os.path.abspath(self.path))
-        os.makedirs(folder, exist_ok=True)
-        fd, temp = tempfile.mkstemp(dir=folder)
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(data, f, indent=1, sort_keys=True)
-        os.replace(temp, self.path)
+        fs, path = self._fs
+        fs.create_dir(os.path.dirname(path), recursive=True)
+        temp = f"{path}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(temp) as f:
+            f.write(json.dumps(data, indent=1, sort_keys=True).encode())
+        fs.move(temp, path)
 
     def get(self, repo: str) -> str | None:
         return self._read().get(repo, {}).get("last_commit")

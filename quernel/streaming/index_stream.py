@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.operators import index
-from quernel.operators.store import PointStore, upsert
+from quernel.operators.store import PointStore
 from quernel.session import stage
 
 
@@ -22,7 +22,7 @@ def start(files: DataFrame, store: PointStore, checkpoint: str, config: index.In
         rows = stage(batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n"), f"stream-{batch_id}")
         made = stage(index.points(index.chunks(rows.where(F.col("content").isNotNull()), config), config), f"stream-points-{batch_id}")
         gone = rows.select("repo", F.col("path").alias("file")).distinct()
-        store.save(upsert(store.load().join(gone, ["repo", "file"], "left_anti"), made))
+        store.apply(made, gone_files=gone)
 
     writer = files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
