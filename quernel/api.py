@@ -14,6 +14,7 @@ from quernel.functions.chunking import embedding_text
 from quernel.operators import evaluate, graph, report, search
 from quernel.operators.index import IndexConfig, Indexer, IndexStats
 from quernel.operators.store import PointStore
+from quernel.session import stage
 from quernel.sources import git
 from quernel.sources.state import StateStore
 
@@ -70,11 +71,11 @@ class Engine:
             repo = repo or os.path.basename(os.path.abspath(repo_path))
             branch = branch or git.default_branch(repo_path)
             commit, last = git.find_commit(repo_path, branch), self.state.get(repo)
-            tree = lambda rev: git.read_tree(self.spark, repo_path, rev).withColumns({"repo": F.lit(repo), "branch": F.lit(branch), "commit": F.lit(rev)})
+            tree = lambda rev, content: git.read_tree(self.spark, repo_path, rev, content=content).withColumns({"repo": F.lit(repo), "branch": F.lit(branch), "commit": F.lit(rev)})
             indexer = Indexer(self.store, self.state, IndexConfig(dim=self.config.dim, model=self.config.model, embedder=self.embedder))
             if full or last is None:
-                return indexer.full(tree(commit), repo, commit)
-            return indexer.incremental(tree(last), tree(commit), repo, commit)
+                return indexer.full(tree(commit, True), repo, commit)
+            return indexer.incremental(tree(last, False), tree(commit, False), repo, commit, lambda rows: git.with_content(rows, repo_path))
         finally:
             self.running = False
 
@@ -90,9 +91,15 @@ class Engine:
         return self.store.search(self.vector(text, filters.get("language")), options)
 
     def search_graph(self, text: str, **kw) -> tuple[DataFrame, DataFrame]:
-        ranked = self.search(text, **kw).cache()
+        """Nodes and links of a result; its links are pairs, so a limit is asked for."""
+        if (self.config.limit if kw.get("limit") is None else kw["limit"]) <= 0:
+            raise ValueError("a graph needs a limit above 0")
+        ranked = stage(self.search(text, **kw), "graph")
         return graph.nodes(ranked), graph.links(ranked)
 
+    def search_text(self, text: str, **kw) -> str:
+        return "\n\n".join(r.text for r in report.text_list(self.search(text, **kw)).orderBy("rank").collect())
+
     def search_markdown(self, text: str, **kw) -> str:
         return "\n\n".join(r.markdown for r in report.markdown(self.search(text, **kw)).orderBy("rank").collect())
 
@@ -116,7 +123,7 @@ class Engine:
         return shown, rows.count() - len(shown)
 
     def languages(self) -> DataFrame:
-        return detect.languages(self.spark)
+        return detect.capabilities(self.spark)
 
     def health(self) -> bool:
         return self.spark.range(1).count() == 1

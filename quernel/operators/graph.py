@@ -12,12 +12,13 @@ def node_size(score: Column | str) -> Column:
 
 
 def nodes(ranked: DataFrame, brief: bool = False) -> DataFrame:
-    """Nodes of a ranked result; ``brief`` leaves out module, size, text and lines."""
-    cols = [c for c in ("id", "rank", "symbol", "kind", "language", "file", "score") if c in ranked.columns]
+    """Nodes of a ranked result, named by their symbols and with their code; ``brief`` leaves out module, size and lines."""
+    name = [F.col("symbol").alias("name")] if "symbol" in ranked.columns else []
+    cols = [c for c in ("id", "rank", "kind", "language", "file", "score", "code") if c in ranked.columns]
     if brief:
-        return ranked.select(*cols)
+        return ranked.select(*cols, *name)
     more = [c for c in ("module", "doc", "signature", "start_line", "end_line") if c in ranked.columns]
-    return ranked.select(*cols, *more, node_size("score").alias("val"))
+    return ranked.select(*cols, *name, *more, node_size("score").alias("val"))
 
 
 def links(ranked: DataFrame) -> DataFrame:

@@ -56,18 +56,18 @@ def scored(points: DataFrame, query: list[float], options: SearchOptions = Searc
 
 
 def search(points: DataFrame, query: list[float], options: SearchOptions = SearchOptions()) -> DataFrame:
-    """The ranked results. Ties keep the order of insertion. Narrow columns are ranked, and the payload of the few
+    """The ranked results. Ties keep the order of insertion, then that of the ids. Narrow columns are ranked, and the payload of the few
     results is fetched afterwards."""
     narrow = scored(points, query, options).select("seq", "id", "score")
-    ranked = narrow.orderBy(F.desc("score"), "seq")
+    ranked = narrow.orderBy(F.desc("score"), "seq", "id")
     if options.offset:
         ranked = ranked.offset(options.offset)
     if options.limit:
         ranked = ranked.limit(options.limit)
-        order = Window.orderBy(F.desc("score"), "seq")  # limit rows at most
+        order = Window.orderBy(F.desc("score"), "seq", "id")  # limit rows at most
         ranked = ranked.withColumn("rank", F.row_number().over(order) + F.lit(options.offset))
         return ranked.join(points.drop("vector", "seq"), "id").orderBy("rank")
-    return ranked.join(points.drop("vector", "seq"), "id").orderBy(F.desc("score"), "seq")
+    return ranked.join(points.drop("vector", "seq"), "id").orderBy(F.desc("score"), "seq", "id")
 
 
 def query_text(text: str, language: str | None = None) -> str:
@@ -101,34 +101,50 @@ def batch_search(points: DataFrame, queries: DataFrame, k: int, by_language: boo
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         sets[dim] = (own, np.divide(m, n, out=np.zeros_like(m), where=n > 0))
 
+    names = np.array([r.query_id for _, (own, _) in sets.items() for r in own], dtype=object)
+    wanted = np.array([(r.language or "").lower() if by_language else "" for _, (own, _) in sets.items() for r in own], dtype=object)
+
     def run(batches):
-        best: dict = {}
+        # of every query the k best so far: scores, places and ids, kept as arrays
+        best: dict[int, tuple] = {}
         for p in batches:
-            sizes = p["vector"].map(lambda v: -1 if v is None else len(v))
+            sizes = p["vector"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+            ids, seqs = p["id"].to_numpy(), p["seq"].to_numpy()
+            tongue = p["language"].fillna("").str.lower().to_numpy() if by_language else None
+            first = 0
             for dim, (own, m) in sets.items():
-                q = p[sizes == dim]
-                if not len(q):
+                here, first = first, first + len(own)
+                fit = np.flatnonzero(sizes == dim)
+                if not len(fit):
                     continue
-                v = np.stack(q["vector"].to_list()).astype(np.float64)
+                v = np.stack([p["vector"].iat[i] for i in fit]).astype(np.float64)
                 n = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                sims = m @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T
-                sims = np.nan_to_num(sims, nan=-2.0)
-                for i, r in enumerate(own):
-                    ok = np.ones(len(q), bool)
-                    if by_language and r.language:
-                        ok = q["language"].fillna("").str.lower().to_numpy() == r.language.lower()
-                    at = np.flatnonzero(ok)
-                    if len(at):
-                        part = pd.DataFrame({"query_id": r.query_id, "id": q["id"].to_numpy()[at], "seq": q["seq"].to_numpy()[at], "score": sims[i][at]})
-                        both = pd.concat([best[r.query_id], part]) if r.query_id in best else part
-                        best[r.query_id] = both.sort_values(["score", "seq"], ascending=[False, True]).head(k)
+                sims = np.nan_to_num(m @ np.divide(v, n, out=np.zeros_like(v), where=n > 0).T, nan=-2.0)
+                groups = {}
+                for i in range(len(own)):
+                    lang = wanted[here + i]
+                    at = groups.get(lang)
+                    if at is None:
+                        at = groups[lang] = np.flatnonzero(tongue[fit] == lang) if lang else np.arange(len(fit))
+                    if not len(at):
+                        continue
+                    s = sims[i, at]
+                    if len(s) > k:  # all that reach the k-th score stay: ties are settled below
+                        at = at[s >= np.partition(s, len(s) - k)[len(s) - k]]
+                        s = sims[i, at]
+                    part = (s, seqs[fit[at]], ids[fit[at]])
+                    if here + i in best:
+                        part = tuple(np.concatenate(x) for x in zip(best[here + i], part))
+                    order = np.lexsort((part[2], part[1], -part[0]))[:k]
+                    best[here + i] = tuple(x[order] for x in part)
         if best:
-            yield pd.concat(best.values())
+            parts = [pd.DataFrame({"query_id": [names[i]] * len(s), "id": d, "seq": q, "score": s}) for i, (s, q, d) in best.items()]
+            yield pd.concat(parts)
 
     kind = dict(queries.dtypes)["query_id"]
     some = points.select("id", "seq", "vector", *(["language"] if by_language else []))
     hits = some.mapInPandas(run, f"query_id {kind}, id string, seq bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq", "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("seq")
 
 

@@ -63,10 +63,10 @@ def test_graph_and_reports(spark):
     ranked = search.search(p, [1.0, 0.0], search.SearchOptions(10)).cache()
     assert [(r.source, r.target, r.relation) for r in graph.links(ranked).collect()] == [("a", "c", "same_file")]
     assert {r.id: r.val for r in graph.nodes(ranked).collect()} == {"a": 20, "b": 19, "c": 19, "d": 3}
-    data = json.loads(report.graph_json(ranked).first().json)
+    data = json.loads(report.graph_json(ranked, 10).first().json)
     assert len(data["nodes"]) == 4 and len(data["links"]) == 1
     assert report.text_list(ranked).count() == 4
-    assert "### 1. `a` (function)" in report.markdown(ranked).where("rank = 1").first().markdown
+    assert "### 1. `a` [function]" in report.markdown(ranked).where("rank = 1").first().markdown
 
 
 def test_upsert_delete_stats(spark):
@@ -134,3 +134,69 @@ def test_metrics(spark):
     assert evaluate.metrics(evaluate.judge(q.limit(0), hits)).collect()[0].asDict() == {"language": "all", "top1": 0.0, "top5": 0.0, "mrr": 0.0, "n_queries": 0}
     assert evaluate.built_in_queries(spark).count() == 12
     assert evaluate.of_language(q, "RUST").count() == 2
+
+
+def test_store_rewrites_only_what_it_touches(spark, tmp_path):
+    from quernel.operators.store import PointStore
+
+    s = PointStore(spark, f"file://{tmp_path}/p", buckets=8)
+    rows = points(spark, [(f"i{k}", [1.0, float(k)], "rust", f"f{k}", "function") for k in range(40)])
+    s.save(rows)
+    before = s._manifest()
+    s.upsert(points(spark, [("i3", [5.0, 5.0], "rust", "f3", "function"), ("new", [0.0, 1.0], "go", "f3", "function")]))
+    after = s._manifest()
+    changed = [b for b in after["parts"] if after["parts"][b] != before["parts"].get(b)]
+    assert len(changed) == 1 and s.count() == 41 and s.load().where("id = 'i3'").first().vector == [5.0, 5.0]
+    old = {r.id: r.seq for r in s._read(before).collect()}
+    assert s.load().where("id = 'i3'").first().seq == old["i3"] and s.load().where("id = 'new'").first().seq > max(old.values())
+    assert s._read(before).count() == 40  # readers of the older version still find it
+    assert s.vacuum(hours=-1) > 0 and s.count() == 41
+    s.delete("i3")
+    s.delete("absent")
+    s.delete_by_language("go")
+    assert {r.id for r in s.load().collect()} == {f"i{k}" for k in range(40) if k != 3}
+    seen = s._manifest()
+    s.delete("i4")
+    with pytest.raises(RuntimeError):
+        s._switch(seen, seen | {"version": "x"})
+    assert s.count() == 38
+    s.clear()
+    assert s.count() == 0 and s.stats()["points"] == 0
+
+
+def test_stages_need_a_shared_folder(spark):
+    from quernel import session
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster)
+    a = session.stage(spark.range(3), "x")
+    assert a.count() == 3
+    session.drop_stages(spark, a)
+    with pytest.raises(Exception):  # noqa: B017 - the files are gone
+        spark.read.parquet(a._stage)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import subprocess
+
+    from quernel import __main__ as cli
+
+    at = tmp_path / "repo"
+    at.mkdir()
+    (at / "a.py").write_text("def load_rows(path):\n    \"\"\"Reads the rows.\"\"\"\n    return path\n")
+    for args in (["init", "-q", "-b", "main"], ["add", "-A"], ["-c", "user.name=T", "-c", "user.email=t@x", "commit", "-qm", "m"]):
+        subprocess.run(["git", "-C", str(at), *args], check=True)
+    settings = tmp_path / "s.json"
+    settings.write_text(f'{{"store": "file://{tmp_path}/store", "state": "{tmp_path}/state.json", "dim": 16, "score_threshold": 0.0}}')
+    run = lambda *a: (cli.main(["--settings", str(settings), *a]), capsys.readouterr().out)[1]
+    assert '"dim": 16' in run("config") and '"chunks_created": 2' in run("index", str(at))
+    assert "[function]" in run("search", "load rows", "--kind", "function") and "### 1." in run("search", "load", "--format", "markdown")
+    assert '"nodes"' in run("search", "load", "--format", "graph") and "main" in run("info", str(at)) and "(.rs)" in run("languages")
+    assert "top1" in run("eval", "--language", "python")
