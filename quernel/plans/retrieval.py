@@ -135,7 +135,7 @@ _SCORED = (
 )
 
 
-@query(f"SELECT id, payload.file AS file, payload.symbol AS symbol, round(s, 6) AS score FROM ({_SCORED}) WHERE payload.language = 'python' AND payload.kind = 'function' AND contains(payload.file, 'src') ORDER BY s DESC, id LIMIT 10")
+@query(f"SELECT id, payload.file AS file, payload.symbol AS symbol, round(s, 6) AS score FROM ({_SCORED}) WHERE payload.language = 'python' AND payload.kind = 'function' AND contains(payload.file, 'src') ORDER BY s DESC, first, id LIMIT 10")
 def point_search(spark, d):
     """Top 10 of the point table under a conjunction of language, kind and part of the file name."""
     points = store.latest_points(table(spark, d, "vector_points"))
@@ -172,20 +172,57 @@ def xml_text(spark, d):
     return _docs(spark, d).select("doc_id", markup.strip_xml("text").alias("text"))
 
 
-@query()
+_SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# in SQL, parentheses are followed three levels deep
+_TARGET = r"(?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*"
+_MD_LINE = (
+    f"regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(l, '\\r$', ''), '^#+{_SPACE}*', ''), '*', ''), '_', ''), "
+    f"'\\[([^\\]]*)(?:\\](?:\\({_TARGET}\\)|\\(.*)?|$)', '\\1', 'g'), '!\\[(?:[^\\[\\]]|\\[[^\\[\\]]*\\])*(?:\\](?:\\({_TARGET}\\)|\\(.*)?|$)', '', 'g')"
+)
+
+
+@query(
+    f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_MD_LINE}), lambda l: NOT (starts_with(l, '```') OR starts_with(l, '~~~'))), lambda l: regexp_replace(l, '^{_SPACE}*[-+] ', '')), lambda l: l <> ''), chr(10)) END AS text FROM {_DOCS}"
+)
 def markdown_text(spark, d):
     """Markdown stripped from every document."""
     return _docs(spark, d).select("doc_id", markup.strip_markdown("text").alias("text"))
 
 
-@query()
+def _chunk_sql(rows: str, key: str, text: str = "text", limit: int = 2000, overlap: int = 200) -> str:
+    """SQL of ``chunk_text`` over a relation: key, n (from 0), code, start_line, end_line. A recursion whose steps take one
+    paragraph, cut one piece off a paragraph above the limit, or hand out what is held at the end."""
+    trim = lambda x: f"regexp_replace({x}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    lines = lambda x: f"(CASE WHEN {x} = '' THEN 0 ELSE len({x}) - len(replace({x}, chr(10), '')) + CASE WHEN ends_with({x}, chr(10)) THEN 0 ELSE 1 END END)"
+    prefix = f"left(rest, list_max(list_filter(range({limit // 4}, {limit + 1}), lambda n: strlen(left(rest, n)) <= {limit})))"
+    head = f"CASE WHEN strlen(regexp_extract({prefix}, '^((?s:.*)){_SPACE}', 1)) > 10 THEN regexp_extract({prefix}, '^((?s:.*)){_SPACE}', 1) ELSE {prefix} END"
+    last = f"right(held, list_max(list_filter(range({overlap // 4}, {overlap + 1}), lambda n: strlen(right(held, n)) <= {overlap})))"
+    tail = trim(f"CASE WHEN strlen(held) <= {overlap} THEN held WHEN regexp_matches({last}, '{_SPACE}') THEN regexp_extract({last}, '{_SPACE}(?s:.*)$') ELSE {last} END")
+    return f"""WITH RECURSIVE t AS (SELECT {key} AS k, {trim(text)} AS t FROM {rows} WHERE {text} IS NOT NULL),
+big AS (SELECT k, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda p: {trim("p")}), lambda p: p <> '') AS ps FROM t WHERE strlen(t) > {limit}),
+r AS (SELECT k, ps, 1 AS i, NULL::VARCHAR AS rest, '' AS held, 1 AS b, 1 AS e, 1 AS line, NULL::VARCHAR AS ot, 0 AS os, 0 AS oe, 0 AS step FROM big
+UNION ALL
+SELECT k, ps, CASE WHEN act IN ('last', 'pack', 'put') THEN i + 1 ELSE i END,
+  CASE WHEN act = 'cut' THEN {trim("substr(rest, len(hd) + 1)")} WHEN act = 'long' THEN para END,
+  CASE act WHEN 'cut' THEN held WHEN 'last' THEN rest WHEN 'long' THEN '' WHEN 'pack' THEN CASE WHEN tl <> '' THEN tl || chr(10) || chr(10) || para ELSE para END WHEN 'put' THEN CASE WHEN held <> '' THEN held || chr(10) || chr(10) || para ELSE para END ELSE '' END,
+  CASE act WHEN 'cut' THEN b + {lines("hd")} WHEN 'long' THEN line WHEN 'pack' THEN greatest(1, line - {lines("tl")}) WHEN 'put' THEN CASE WHEN held = '' THEN line ELSE b END ELSE b END,
+  CASE act WHEN 'last' THEN b + greatest(1, {lines("rest")}) - 1 WHEN 'pack' THEN line + {lines("para")} - 1 WHEN 'put' THEN greatest(CASE WHEN held = '' THEN line ELSE b END, line + {lines("para")} - 1) ELSE e END,
+  CASE WHEN act IN ('last', 'pack', 'put') THEN line + {lines("para")} ELSE line END,
+  CASE WHEN act = 'cut' THEN {trim("hd")} WHEN act IN ('long', 'pack', 'end') THEN held END, b, CASE WHEN act = 'cut' THEN b + {lines("hd")} ELSE e END, step + 1
+FROM (SELECT *, CASE WHEN act = 'cut' THEN {head} END AS hd, CASE WHEN act = 'pack' THEN {tail} END AS tl FROM (
+  SELECT *, ps[i] AS para, CASE WHEN rest IS NOT NULL THEN CASE WHEN strlen(rest) > {limit} THEN 'cut' ELSE 'last' END WHEN i > len(ps) THEN 'end' WHEN strlen(ps[i]) > {limit} THEN 'long'
+    WHEN held <> '' AND strlen(held) + strlen(ps[i]) + 2 > {limit} THEN 'pack' ELSE 'put' END AS act FROM r WHERE i <= len(ps) OR rest IS NOT NULL OR held <> ''))),
+o AS (SELECT k, ot AS code, os AS start_line, oe AS end_line, step FROM r WHERE ot <> '' UNION ALL SELECT k, t, 1, 1, 0 FROM t WHERE t <> '' AND strlen(t) <= {limit})
+SELECT k AS {key}, (row_number() OVER (PARTITION BY k ORDER BY step) - 1)::INT AS n, code, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line FROM o"""
+
+
+@query(f"SELECT doc_id, n AS ordinal, sha256(code) AS hash, start_line, end_line FROM ({_chunk_sql(_DOCS, 'doc_id')})")
 def doc_chunks(spark, d):
     """Every document cut into chunks with hashes and lines."""
     rows = _docs(spark, d).select("doc_id", F.posexplode(chunking.chunk_text("text")).alias("ordinal", "c"))
     return rows.select("doc_id", "ordinal", F.sha2("c.text", 256).alias("hash"), "c.start_line", "c.end_line")
 
 
-_SPACE = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _LINE = f"regexp_replace(regexp_extract(text, '^{_SPACE}*([^\\n]+)', 1), '{_SPACE}+$', '')"
 
 
@@ -332,7 +369,7 @@ _EVAL = (
     "WITH q AS (SELECT DISTINCT lower(language) || '|' || query_text AS query_id, lower(language) AS language, expected_symbols, list_transform(range(0, 64), lambda i: (((('0x' || left(sha256('[' || coalesce(language, '') || '] ' || chr(10) || query_text || chr(10) || query_text), 16))::UBIGINT >> i) & 255)::DOUBLE / 255)::FLOAT::DOUBLE) AS v FROM eval_queries), "
     f"p AS (SELECT id, first, payload, vector FROM ({_LATEST}) WHERE len(vector) = 64), "
     "s AS (SELECT q.query_id, p.id, p.payload.symbol AS symbol, p.first, CASE WHEN len(list_filter(p.vector, lambda x: isnan(x))) > 0 THEN -2 WHEN len(list_filter(p.vector, lambda x: x <> 0)) = 0 THEN 0 ELSE list_cosine_similarity(p.vector::DOUBLE[], q.v) END AS s FROM q JOIN p ON lower(p.payload.language) = q.language), "
-    "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first) AS rank FROM s), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first, id) AS rank FROM s), "
     "h AS (SELECT k.query_id, min(rank) AS first_hit FROM k JOIN q USING (query_id) WHERE rank <= 5 AND symbol <> '' AND len(list_filter(q.expected_symbols, lambda e: contains(symbol, e) OR contains(e, symbol))) > 0 GROUP BY 1), "
     "j AS (SELECT q.query_id, q.language, first_hit FROM q LEFT JOIN h USING (query_id)) "
 )
@@ -416,22 +453,46 @@ def commits(spark, d):
     return rows.distinct()
 
 
-@query()
+def _found(n: int) -> str:
+    return f"SELECT id, first, payload.*, s, (row_number() OVER (ORDER BY s DESC, first, id))::INT AS rank FROM (SELECT id, first, s, struct_pack(symbol := payload.symbol, kind := payload.kind, file := payload.file, module := payload.module, language := payload.language, doc := payload.doc, signature := payload.signature, code := payload.code, start_line := payload.start_line, end_line := payload.end_line) AS payload FROM ({_SCORED})) ORDER BY s DESC, first, id LIMIT {n}"
+
+
+_SIG = "CASE WHEN signature <> '' AND signature <> coalesce(symbol, '') THEN {0} END"
+#: The first 100 bytes of a documentation, whole characters only.
+_DOC100 = "left(doc, list_max(list_filter(range(0, 101), lambda n: strlen(left(doc, n)) <= 100)))"
+
+
+def _results(spark, d, n: int, **where) -> DataFrame:
+    points = store.latest_points(table(spark, d, "vector_points"))
+    return search.search(points, _point_query(), search.SearchOptions(n, 0, None, search.SearchFilter(**where)))
+
+
+@query(
+    "SELECT rank, concat_ws(chr(10), printf('%d. [%s] %.2f', rank, coalesce(kind, ''), s), '   Symbol: ' || coalesce(symbol, ''), '   File: ' || coalesce(file, ''), "
+    f"CASE WHEN doc <> '' THEN '   Doc: ' || {_DOC100} END, {_SIG.format("'   Signature: ' || signature")}, '   Code: ' || regexp_replace(split_part(coalesce(code, ''), chr(10), 1), '\\r$', '')) AS text FROM ({_found(10)})"
+)
 def result_text(spark, d):
     """A search result as a text list."""
-    points = store.latest_points(table(spark, d, "vector_points"))
-    return report.text_list(search.search(points, _point_query(), search.SearchOptions(10)))
+    return report.text_list(_results(spark, d, 10))
 
 
-@query()
+@query(
+    "SELECT rank, printf('### %d. `%s` [%s]' || chr(10) || chr(10), rank, coalesce(symbol, ''), coalesce(kind, '')) || printf('**File:** `%s` (%s)' || chr(10) || '**Score:** %.3f' || chr(10), coalesce(file, ''), coalesce(language, ''), s) "
+    "|| coalesce(CASE WHEN start_line > 0 THEN printf('**Lines:** %d–%d' || chr(10), start_line, end_line) END, '') || coalesce(CASE WHEN doc <> '' THEN chr(10) || '**Doc:** ' || doc || chr(10) END, '') "
+    f"|| coalesce({_SIG.format("chr(10) || '**Signature:** `' || signature || '`' || chr(10)")}, '') || chr(10) || '```' || coalesce(language, '') || chr(10) || coalesce(code, '') || chr(10) || '```' || chr(10) AS markdown FROM ({_found(10)})"
+)
 def result_markdown(spark, d):
     """A search result as Markdown."""
-    points = store.latest_points(table(spark, d, "vector_points"))
-    return report.markdown(search.search(points, _point_query(), search.SearchOptions(10)))
+    return report.markdown(_results(spark, d, 10))
 
 
-@query()
+@query(
+    f"WITH n AS ({_found(20)}) SELECT (SELECT count(*) FROM n) AS total, (SELECT count(*) FROM n a JOIN n b ON a.rank < b.rank AND a.file = b.file AND a.file <> '') + (SELECT count(*) FROM n a JOIN n b ON a.rank < b.rank AND a.module = b.module AND a.module <> '') AS links, (SELECT string_agg(id || coalesce(symbol, ''), ' ' ORDER BY id) FROM n) AS names"
+)
 def result_graph(spark, d):
-    """A search result as a graph in JSON."""
-    points = store.latest_points(table(spark, d, "vector_points"))
-    return report.graph_json(stage(search.search(points, _point_query(), search.SearchOptions(20)), "graph"))
+    """A search result as a graph in JSON, read back: its total, the number of its links, and its nodes' ids and names."""
+    made = report.graph_json(stage(_results(spark, d, 20), "graph"), 20)
+    kind = "struct<nodes:array<struct<id:string,name:string,code:string>>,links:array<struct<source:string,target:string,relation:string>>,total:bigint>"
+    g = made.select(F.from_json("json", kind).alias("g"))
+    names = F.array_sort(F.transform("g.nodes", lambda x: F.concat(x["id"], F.coalesce(x["name"], F.lit("")))))
+    return g.select(F.col("g.total").alias("total"), F.size("g.links").cast("bigint").alias("links"), F.array_join(names, " ").alias("names"))
