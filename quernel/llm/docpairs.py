@@ -1,5 +1,8 @@
 """Problem 2: functions paired with their documentation.
 
+Functions of files are found by the grammars: the rule of a function is charted alone wherever one can begin, so that valid
+functions of broken files come out.
+
 The head of a function is charted by a generalised LL grammar on graph-structured stacks (``gll``) with recovery: a token
 that the chart does not take is skipped, so heads of broken files still lead to their bodies. A string at the start of a
 Python body is documentation, as is the ``doc`` column. Documentation is trivial when nothing is left of it but the
@@ -15,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.functions.symbols import doc_above, extract_symbols, python_blocks
+from quernel.functions.symbols import doc_above, python_blocks
 from quernel.llm import gll, syntax
 from quernel.llm.tokens import strings
 from quernel.session import spread, stage
 
 TEMPLATE_SHARE = 0.002  # of all documented names, under which one description makes a template
 TEMPLATE_NAMES = 3  # names that are the least evidence of a repetition; the share asks for more from 1,500 names on
-SKIPS = 20
 
 HEAD = r"""
 file = decorator* 'async'? 'def' name? tparams? params ('->' token+)? ':' (NEWLINE INDENT)? ;
@@ -49,7 +51,7 @@ def body_string(code: str) -> str:
     while True:
         tokens = syntax._python_tokens(code, lang, most)
         whole = tokens[-1][0] == gll.END
-        column, skipped = g.first, 0
+        column = g.first
         for t, at, _ in tokens:
             if column.ends and t == "STR":
                 m = _STRING.match(code, at)
@@ -58,11 +60,7 @@ def body_string(code: str) -> str:
             if after is None:
                 if column.ends:  # an unclosed string of a cut-off body still counts
                     return code[at + 3 :] if code.startswith(('"""', "'''"), at) else ""
-                skipped += 1
-                if skipped > SKIPS or t == gll.END:
-                    whole = True
-                    break
-                continue
+                continue  # recovery: the token is skipped
             column = after
         if whole:  # the head never ended: a colon at a line's end closes what is open in it
             m = _OPEN_HEAD.match(code)
@@ -187,37 +185,120 @@ def template(text: str, name: str, signature: str) -> str:
     return " ".join("□" if stem(w) in own else w.lower() for w in _WORD.findall(text))
 
 
-_WRAP = {"java": "class A {{ {} }}", "go": "package a\n{}\n", "javascript": "class A {{ {} }}", "typescript": "class A {{ {} }}", "rust": "impl A {{ {} }}"}
+#: Rules of a function alone, beside the languages' grammars.
+_ALONE = {
+    "python": "",
+    "javascript": "alone = 'static'? ('async'? '*'? prop_name params block | ('get' | 'set') prop_name params block) ;",
+    "typescript": "alone = modifier* ('*'? prop_name '?'? sig block | ('get' | 'set') prop_name sig block) ;",
+    "rust": "",
+    "go": "",
+    "java": "alone = modifier* (method | ctor) ;",
+}
+#: The rule and the words at which a function begins.
+_RULES = {"python": ("def", ()), "javascript": ("fn_decl", ("function",)), "typescript": ("fn_decl", ("function",)), "rust": ("fn", ("fn",)), "go": ("func", ("func",)), "java": ("alone", ())}
+_SOFT = {"ID", "PRIVATE", "of", "from", "as", "get", "set", "type", "is", "require", "default", "delete", "union", "record", "open", "to", "with", "match", "case", "_"}
+_RUST_LEAD = re.compile(r"(?:pub(?:\([^()\n]*\))?\s+|default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"\n]*\"\s+)?)*\Z")
+_grammars: dict[str, gll.Grammar] = {}
+
+
+def _grammar(name: str) -> gll.Grammar:
+    if name not in _grammars:
+        _grammars[name] = gll.Grammar(syntax._GRAMMARS[name] + _ALONE[name], "file")
+    _grammars[name].trim()
+    return _grammars[name]
+
+
+def _reach(lang, g: gll.Grammar, rule: str, tokens, at: int) -> int:
+    """The index behind the longest text from token ``at`` on that the rule takes and a block ends, or -1; methods of Java's
+    interfaces have no block."""
+    column, best = g._column({(g.start_of[rule], None)}), -1
+    for i in range(at, len(tokens)):
+        t = tokens[i]
+        after = g.step(column, t[0])
+        if after is None and lang.virtual and (t[0] == "}" or (t[2] and lang.virtual == "ASI")):
+            between = g.step(column, lang.virtual)
+            after = g.step(between, t[0]) if between is not None else None
+        if after is None:
+            return best
+        column = after
+        if column.ends and (t[0] in ("}", "DEDENT", "NEWLINE") or t[0] == ";" and rule == "alone" and lang.name == "java"):
+            best = i + 1
+    return best
 
 
 def _python_functions(text: str) -> list[dict]:
-    """Functions of a Python text by its statements' indentation, whether or not it parses; ``framed`` is the code as it
-    stands in the text, so that strings keep their lines."""
-    lines, out = text.split("\n"), []
+    """Functions of a Python text. Their heads are looked for statement by statement, past strings and brackets that are
+    never closed; from there on the grammar tells where each ends and whether it is valid."""
+    lang, g, lines, out = syntax.language("python"), _grammar("python"), text.split("\n"), []
     for b in python_blocks(text):
-        if b["word"] == "def":
-            at, last = text.count("\n", 0, b["start"]), text.count("\n", 0, b["end"])
-            rows = lines[at : last + 1]
-            lead = rows[0][: len(rows[0]) - len(rows[0].lstrip())]
-            code = "\n".join(x.removeprefix(lead) for x in rows).rstrip()
-            doc = doc_above(lines, text.count("\n", 0, b["first"]))
-            framed = ("class A:\n" if lead else "") + "\n".join(rows)
-            out.append({"name": b["name"], "kind": "method" if lead else "function", "signature": code.split("\n")[0], "code": code, "framed": framed, "doc": doc, "line_start": at + 1})
+        if b["word"] != "def":
+            continue
+        row = text.count("\n", 0, b["start"])
+        lead = lines[row][: len(lines[row]) - len(lines[row].lstrip())]
+        framed, most = "if x:\n" * bool(lead) + text[b["start"] - len(lead) :], 256
+        while True:  # no more of the text is read than the function needs
+            tokens = syntax._python_tokens(framed, lang, most)
+            first = next(i for i, t in enumerate(tokens) if t[0] in ("def", "async"))
+            end = _reach(lang, g, "def", tokens, first)
+            if tokens[-1][0] == gll.END or (end >= 0 and end < len(tokens)):
+                break
+            most *= 4
+        if end < 0:
+            continue
+        stop = max(t[1] for t in tokens[first:end] if t[0] == "NEWLINE")
+        head = len("if x:\n") * bool(lead) + len(lead)
+        code = "\n".join(x.removeprefix(lead) for x in framed[head:stop].split("\n")).rstrip()
+        doc = doc_above(lines, text.count("\n", 0, b["first"]))
+        out.append({"name": b["name"], "kind": "method" if lead else "function", "signature": code.split("\n")[0], "code": code, "doc": doc, "line_start": row + 1})
     return out
 
 
 def functions_of(text: str, name: str) -> list[dict]:
-    """The valid functions of a text in a language, whether or not the text is valid as a whole: each is charted alone,
-    methods in the frame that their language asks for."""
-    found = _python_functions(text) if name == "python" else [s for s in extract_symbols(text, name) if s["kind"] in ("function", "method")]
-    lang, out = syntax.language(name), []
-    lang.grammar.trim()
-    for f in found:
-        framed = f["kind"] == "method" or name in ("java", "go")
-        body = _WRAP[name].format(f["code"]) if name in _WRAP and framed else f.get("framed", f["code"]) + "\n"
-        tokens = syntax.tokenize(body, lang)
-        if syntax.chart(lang, tokens)[0] == len(tokens):
-            out.append(f)
+    """The valid functions of a text in a language, whether or not the text is valid as a whole. Wherever a function can
+    begin, the grammar's rule for one is charted on its own; what it takes up to the end of a block is the function, and
+    where it takes nothing there is none."""
+    if name == "python":
+        return _python_functions(text)
+    lang, g = syntax.language(name), _grammar(name)
+    rule, words = _RULES[name]
+    tokens, lines, out = syntax.tokenize(text, lang), text.split("\n"), []
+    for i, (t, start, _) in enumerate(tokens[:-1]):
+        kind, at, which = "function", i, rule
+        if t in words:
+            if i and tokens[i - 1][0] == "async":
+                at = i - 1
+            named = next((k for k in range(i + 1, min(i + 3, len(tokens))) if tokens[k][0] in _SOFT), None)
+            if name == "go" and tokens[i + 1][0] == "(":
+                kind, close = "method", next((k for k in range(i + 1, len(tokens)) if tokens[k][0] == ")"), i)
+                named = close + 1 if close + 1 < len(tokens) and tokens[close + 1][0] in _SOFT else None
+        elif "alone" in g.start_of and (not i or tokens[i - 1][0] in ("{", "}", ";")) and t not in ("{", "}", ";", "(", gll.END):
+            # methods: what stands before the first bracket names them
+            bracket = next((k for k in range(i, len(tokens)) if tokens[k][0] in ("(", "{", "}", ";", "=")), i)
+            if tokens[bracket][0] != "(" and t != "@":
+                continue
+            named = next((k for k in range(bracket - 1, i - 1, -1) if tokens[k][0] in _SOFT), None)
+            kind, which = "method", "alone"
+            if t != "@" and (named is None or tokens[bracket - 1][0] not in _SOFT | {">", "]"}):
+                continue
+        else:
+            continue
+        end = _reach(lang, g, which, tokens, at)
+        if end < 0 or (named is None and t != "@"):
+            continue
+        if t == "@":  # annotations come first: the name stands before the parameters' bracket
+            depth = [k for k in range(at, end) if tokens[k][0] == "{"][:1]
+            opened = [k for k in range(at + 1, depth[0] if depth else end) if tokens[k][0] == "(" and tokens[k - 1][0] in _SOFT]
+            if not opened:
+                continue
+            named = opened[-1] - 1
+        begin, stop = tokens[at][1], tokens[end - 1][1] + 1
+        if name == "rust":
+            begin -= len(_RUST_LEAD.search(text[text.rfind("\n", 0, begin) + 1 : begin]).group())
+            kind = "method" if text[text.rfind("\n", 0, begin) + 1 : begin].isspace() else "function"
+        code = text[begin:stop]
+        called = re.match(r"#?[\w$]+", text[tokens[named][1] :])
+        row = text.count("\n", 0, begin)
+        out.append({"name": called.group() if called else "", "kind": kind, "signature": code.split("{")[0].rstrip("; \n").strip(), "code": code, "doc": doc_above(lines, row), "line_start": row + 1})
     return out
 
 
