@@ -1,14 +1,16 @@
 """Problem 1: generated, minified or vendored source files and data stored as source.
 
-A character trigram model of name parts is trained for each language over all rows. Every chunk then gives counts that
+A character trigram model of the parts of identifiers is trained for each language over all rows, strings and comments aside. Every chunk then gives counts that
 add up per file: bits of its name parts under the model, distinct lines and distinct line shapes, bytes in literals,
 naming styles, and provenance notes in header comments. A file is
 
-* minified when its names are mangled: many bits a character, and mostly one or two letters long;
+* minified when its names are mangled: more bits a character than the language's model needs on the average, and mostly
+  one or two letters long;
 * generated (or a table) when its lines are fillings of few templates: low diversity of shapes against lines, or when a
   header comment says so;
-* vendored when it stands in a folder for foreign code, when a header comment says it is a copy, or when it carries
-  another project's notice and names things in another style than its repository does in that language;
+* vendored when it stands in a folder for foreign code, when a comment of its own says it is a copy, or when its naming
+  style is foreign: many bits a word boundary under the habits of its repository's other files in that language, while its
+  words are those of the language;
 * data when literals make up most of it and hardly any statement is left.
 """
 
@@ -26,16 +28,22 @@ from pyspark.sql import functions as F
 from quernel.llm.tokens import strings
 from quernel.session import spread, stage
 
-LANGUAGES = {"py": 0, "js": 1, "mjs": 1, "cjs": 1, "jsx": 1, "ts": 2, "tsx": 2, "rs": 3, "go": 4, "java": 5}
-OTHER = 6
-SOURCE = [*LANGUAGES, "c", "h", "cc", "cpp", "hpp", "cs", "rb", "php", "kt", "kts", "swift", "scala", "dart", "lua", "pl", "pm", "r", "sh", "bash", "sql"]
+#: Extensions of each language that has a model of its own. Fixed values.
+FAMILIES = [
+    ["py", "pyw"], ["js", "mjs", "cjs", "jsx"], ["ts", "tsx", "mts"], ["rs"], ["go"], ["java"], ["c", "h"], ["cc", "cpp", "cxx", "hpp", "hh"], ["cs"], ["rb"], ["php"], ["kt", "kts"],
+    ["swift"], ["scala"], ["dart"], ["lua"], ["pl", "pm"], ["r"], ["sh", "bash"], ["sql"],
+]
+LANGUAGES = {e: k for k, family in enumerate(FAMILIES) for e in family}
+SOURCE = list(LANGUAGES)
 MANGLED_BITS = 1.05  # bits a symbol of name parts, as a multiple of the median file's in the language
 SHORT_NAMES = 0.35
 LOW_DIVERSITY = 0.95  # distinct line shapes as a multiple of the root of the number of distinct lines; imports and comments aside
 MIN_LINES = 6
 DATA_SHARE = 0.5
 FEW_SHAPES = 6
-FOREIGN = 0.5
+FOREIGN = 2.5  # bits a word boundary of a file's names under its repository's own habits in the language
+MIN_BOUNDARIES = 20
+FAMILIAR = 1.02  # bits a symbol, as a multiple of the language's mean, up to which a file is written in the language of its name
 FOLDERS = r"(^|/)(vendor|vendors|vendored|third[-_]?party|thirdparty|extern|external|externals|godeps|node_modules|bower_components|site-packages|dist-packages|jspm_packages)/"
 
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -45,6 +53,8 @@ _LETTERS = str.maketrans({**{chr(c): "a" for c in range(128) if chr(c).isalpha()
 _DIGITS = re.compile(r"\d")
 _SNAKE, _CAMEL = re.compile(r"[a-z0-9]_[a-z]"), re.compile(r"[a-z0-9][A-Z]")
 _NOTE = re.compile(r"^[ \t]*(?://+!?|#+!?|/\*+!?|\*+|--+|;+|<!--)[ \t]*(.+?)[ \t]*(?:\*/|-->)?[ \t]*$", re.M)
+#: Strings and comments, which hold no identifiers.
+_NO_NAME = re.compile(r'"(?:[^"\n\\]|\\.)*"|\'(?:[^\'\n\\]|\\.)*\'|`[^`]*`|//[^\n]*|/\*[\s\S]*?\*/|(?:^|(?<=\s))(?:#(?![!\[])|--)[^\n]*', re.M)
 _PLAIN = re.compile(r"^(?:import|from|use|package|require|#|//|/?\*|export \*|\W*$)")
 #: How header comments of generators and of copies begin or end. Fixed wordings of common tools, in several languages.
 _GENERATED = re.compile(
@@ -62,11 +72,15 @@ _COPY = re.compile(
     r"|kopie (?:der|des|einer|von)\b|copie (?:de|du|tierce)\b|copia (?:de|del)\b|.*第三方.*(?:副本|拷贝|复制)|.*(?:外部|サードパーティ).*(?:コピー|複製))",
     re.I,
 )
-_NOTICE = re.compile(r"^copyright (?:\(c\) |© )?\d{4}(?:[-–]\d{4})?,? (?:the )?([\w.-]+)", re.I)
 
 
 def language_of(file: str) -> int:
-    return LANGUAGES.get(file.rpartition(".")[2].lower(), OTHER)
+    return LANGUAGES[file.rpartition(".")[2].lower()]
+
+
+def name_parts(code: str) -> list[str]:
+    """Parts of the identifiers and keywords of a text."""
+    return _PART.findall(_NO_NAME.sub(" ", code))
 
 
 def _symbols(part: str) -> list[int]:
@@ -79,19 +93,19 @@ def trigram_rows(languages: list[int], texts: list[str]) -> Counter:
     would else teach the model their own names."""
     parts: dict[int, Counter] = {}
     for k, t in zip(languages, texts):
-        parts.setdefault(k, Counter()).update(set(_PART.findall(t)))
+        parts.setdefault(k, Counter()).update(set(name_parts(t)))
     out: Counter = Counter()
     for k, counts in parts.items():
         for part, n in counts.items():
-            if len(part) <= 40:
-                s = _symbols(part)
-                for a, b, c in zip(s, s[1:], s[2:]):
-                    out[k, (a * 28 + b) * 28 + c] += n
+            s = _symbols(part)
+            for a, b, c in zip(s, s[1:], s[2:]):
+                out[k, (a * 28 + b) * 28 + c] += n
     return out
 
 
-def train(chunks: DataFrame) -> np.ndarray:
-    """Bits of each trigram's last symbol, [language, first, second, last]; the counts are those of all rows."""
+def train(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of each trigram's last symbol, [language, first, second, last], and each language's mean over what it was
+    trained on; the counts are those of all rows."""
 
     def run(batches):
         for batch in batches:
@@ -104,15 +118,17 @@ def train(chunks: DataFrame) -> np.ndarray:
             )
 
     counted = chunks.select("file", "code").mapInArrow(run, "language int, gram int, n bigint")
-    model = np.full((OTHER + 1, 28**3), 0.05)
-    for r in counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():  # at most 7 * 28^3 rows
-        model[r.language, r.gram] += r.n
-    model = model.reshape(OTHER + 1, 28, 28, 28)
-    return (-np.log2(model / model.sum(axis=3, keepdims=True))).astype(np.float32)
+    counts = np.zeros((len(FAMILIES), 28**3))
+    got = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()  # at most 20 * 28^3 rows
+    counts[got["language"].to_numpy(), got["gram"].to_numpy()] = got["n"].to_numpy()
+    counts = counts.reshape(-1, 28, 28, 28)
+    bits = -np.log2((counts + 0.05) / (counts + 0.05).sum(axis=3, keepdims=True))
+    mean = (counts * bits).sum(axis=(1, 2, 3)) / np.maximum(counts.sum(axis=(1, 2, 3)), 1)
+    return bits.astype(np.float32), mean
 
 
 def part_bits(model: np.ndarray, part: str) -> tuple[float, int]:
-    s = _symbols(part[:40])
+    s = _symbols(part)
     return float(sum(model[a, b, c] for a, b, c in zip(s, s[1:], s[2:]))), len(s) - 2
 
 
@@ -135,17 +151,17 @@ def line_shapes(code: str) -> tuple[list[int], list[int], int, int]:
 
 
 def _features(chunks: DataFrame, model: np.ndarray) -> DataFrame:
-    names = ["repo", "file", "bits", "symbols", "parts", "short", "size", "literal", "snake", "camel", "made", "copied", "notice", "line", "shape", "statement"]
+    names = ["repo", "file", "bits", "symbols", "parts", "short", "size", "literal", "snake", "camel", "made", "copied", "line", "shape", "statement"]
 
     def run(batches):
-        cache: list[dict] = [{} for _ in range(OTHER + 1)]
+        cache: list[dict] = [{} for _ in FAMILIES]
         for batch in batches:
             repos, files, kinds = batch.column(0), strings(batch.column(1)), strings(batch.column(2))
             out: list[list] = [[] for _ in names[2:]]
             for file, kind, code in zip(files, kinds, strings(batch.column(3))):
                 k = language_of(file)
                 known, bits, symbols, short = cache[k], 0.0, 0, 0
-                parts = _PART.findall(code)
+                parts = name_parts(code)
                 for p in parts:
                     got = known.get(p)
                     if got is None:
@@ -156,24 +172,20 @@ def _features(chunks: DataFrame, model: np.ndarray) -> DataFrame:
                     symbols += got[1]
                     short += got[1] <= 3
                 made = copied = False
-                notice = None
-                if kind == "module":
-                    for m in _NOTE.finditer(code):
-                        made = made or bool(_GENERATED.match(m.group(1)))
-                        copied = copied or bool(_COPY.match(m.group(1)))
-                        if notice is None and (n := _NOTICE.match(m.group(1))):
-                            notice = n.group(1).lower()
+                for m in _NOTE.finditer(code):
+                    made = made or bool(_GENERATED.match(m.group(1)))
+                    copied = copied or bool(_COPY.match(m.group(1)))
                 lines, shapes, literal, statements = line_shapes(code)
-                row = (bits, symbols, len(parts), short, len(code), literal, len(_SNAKE.findall(code)), len(_CAMEL.findall(code)), made, copied, notice, lines, shapes, statements)
+                row = (bits, symbols, len(parts), short, len(code), literal, len(_SNAKE.findall(code)), len(_CAMEL.findall(code)), made, copied, lines, shapes, statements)
                 for column, value in zip(out, row):
                     column.append(value)
             ints = pa.list_(pa.int32())
-            kinds_ = [pa.float64()] + [pa.int64()] * 7 + [pa.bool_(), pa.bool_(), pa.string(), ints, ints, ints]
+            kinds_ = [pa.float64()] + [pa.int64()] * 7 + [pa.bool_(), pa.bool_(), ints, ints, ints]
             yield pa.RecordBatch.from_arrays([repos, batch.column(1), *(pa.array(x, t) for x, t in zip(out, kinds_))], names)
 
     schema = (
         "repo string, file string, bits double, symbols bigint, parts bigint, short bigint, size bigint, literal bigint, snake bigint, camel bigint, "
-        "made boolean, copied boolean, notice string, line array<int>, shape array<int>, statement array<int>"
+        "made boolean, copied boolean, line array<int>, shape array<int>, statement array<int>"
     )
     return chunks.select("repo", "file", "kind", "code").mapInArrow(run, schema)
 
@@ -189,10 +201,10 @@ def file_scores(chunks: DataFrame) -> DataFrame:
     kind = F.coalesce("kind", F.lit(""))
     rows = chunks.where(ext.isin(SOURCE) & (kind != "document") & ~kind.endswith("_doc") & F.col("repo").isNotNull())
     rows = spread(rows.select("repo", "file", "kind", "code"), "repo", "file")
-    model = train(rows)
+    model, mean = train(rows)
     made = _features(rows, model)
     # Partial sums before the shuffle; distinct lines and shapes as sketches of fixed size, so no file is one task's rows.
-    marks = [F.max("made").alias("made"), F.max("copied").alias("copied"), F.max("notice").alias("notice")]
+    marks = [F.max("made").alias("made"), F.max("copied").alias("copied")]
     first = F.posexplode_outer(F.arrays_zip("line", "shape", "statement")).alias("pos", "z")
     wide = made.select(*[c for c in made.columns if c not in ("line", "shape", "statement")], first)
     head = lambda c: F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c))).alias(c)
@@ -207,11 +219,18 @@ def file_scores(chunks: DataFrame) -> DataFrame:
     camel = F.col("camel") / F.greatest(F.col("camel") + F.col("snake"), F.lit(1))
     files = files.withColumns({"bits": bits, "short": short, "diversity": diversity, "literal": literal, "camel_share": camel, "ext": F.lower(F.regexp_extract("file", r"\.([^./]+)$", 1))})
     files = stage(files, "origin-files")  # read three times below
-    usual = files.groupBy("repo", "ext").agg((F.sum("camel") / F.greatest(F.sum(F.col("camel") + F.col("snake")), F.lit(1))).alias("usual"))
-    norm = files.groupBy("ext").agg(F.percentile_approx("bits", 0.5).alias("usual_bits"))
-    files = files.join(usual, ["repo", "ext"]).join(norm, "ext")
+    files = files.withColumn("family", F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.col("ext")])
+    own = files.groupBy("repo", "family").agg(F.sum("camel").alias("all_camel"), F.sum("snake").alias("all_snake"))
+    files = files.join(own, ["repo", "family"])
     folder = F.lower("file").rlike(FOLDERS)
-    theirs = F.col("notice").isNotNull() & (F.lower("repo") != F.col("notice")) & (F.abs(F.col("camel_share") - F.col("usual")) > FOREIGN)
+    # how foreign a file's word boundaries are to the other files of its repository in its language, as cross-entropy
+    camel, snake = F.col("all_camel") - F.col("camel") + 1, F.col("all_snake") - F.col("snake") + 1
+    bits_of = lambda n: F.log2((camel + snake) / n)
+    boundaries = F.col("camel") + F.col("snake")
+    foreign = (F.col("camel") * bits_of(camel) + F.col("snake") * bits_of(snake)) / F.greatest(boundaries, F.lit(1))
+    means = F.array(*[F.lit(float(x)) for x in mean])
+    files = files.withColumns({"usual_bits": F.get(means, F.col("family")), "foreign": foreign})
+    theirs = (F.col("foreign") > FOREIGN) & (boundaries >= MIN_BOUNDARIES) & (F.col("bits") <= FAMILIAR * F.col("usual_bits"))
     return files.withColumns(
         {
             "minified": (F.col("bits") > MANGLED_BITS * F.col("usual_bits")) & (F.col("short") > SHORT_NAMES),

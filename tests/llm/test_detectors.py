@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from quernel.llm import docpairs, origin, residue, secrets, syntax
@@ -26,6 +28,17 @@ def test_origin(spark):
     assert origin.unwritten_files(df.limit(0)).count() == 0
 
 
+def test_foreign_style_is_vendored(spark):
+    """A file in the words of its language, but with another habit of naming than its repository, counts as a copy."""
+    own = [("r", f"src/{n}.py", "function", HAND.format(n, i, n.title()) + f"def open_{n}_{m}(first_{m}, last_{n}):\n    return read_{m}_rows(first_{m}, last_{n})\n") for i, (n, m) in enumerate(zip(NAMES, NAMES[1:] + NAMES[:1]))]
+    other = re.sub(r"(?<=[a-z])_([a-z])", lambda m: m.group(1).upper(), "".join(own[k][3] for k in (0, 3, 5)))
+    note = ("r", "src/said.py", "function", "# Vendored copy of x-y 1.0\n" + own[0][3])
+    df = spark.createDataFrame([*own, ("r", "src/copy.py", "function", other), note], "repo string, file string, kind string, code string")
+    scores = {r.file: r for r in origin.file_scores(df).collect()}
+    assert {f for f, r in scores.items() if r.vendored} == {"src/copy.py", "src/said.py"}
+    assert origin.name_parts("x = 'no name' # nor here\nfooBar(1) // gone") == ["x", "foo", "Bar"]
+
+
 @pytest.mark.parametrize(
     "doc, name, says",
     [
