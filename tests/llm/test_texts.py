@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -125,3 +126,14 @@ def test_valleys_in_other_scripts():
     data = (a + b).encode()
     spans = splitting.cut_spans(data, len(a.encode()) * 2, 0)
     assert spans[0] == (0, len(a.encode()))
+
+
+def test_schedules_of_sources(spark):
+    """A source's own slope moves it; the shares stay."""
+    docs = spark.createDataFrame([(i, f"word{i} and more of it here", ("a", "b", "c")[i % 3]) for i in range(300)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 1), ("c", 0.3, 1)], "source string, target_share double, max_repeats int")
+    mean = lambda **kw: {r.source: r.m for r in mixing.mix(docs, targets, **kw).groupBy("source").agg(F.avg("position").alias("m")).collect()}
+    late, early = mean(schedules={"a": 0.6, "b": -0.8}), mean(schedules={"a": -0.6, "b": 0.8})
+    assert late["a"] > late["c"] > late["b"] and early["a"] < early["c"] < early["b"]
+    shares = {r.source: r.actual_share for r in mixing.report(docs, targets, schedules={"a": 0.6}).collect()}
+    assert all(abs(shares[s] - t) < 0.02 for s, t in (("a", 0.4), ("b", 0.3), ("c", 0.3)))
