@@ -23,7 +23,9 @@ K = 5
 SAMPLE = 20_000  # rows on which the centroids are fitted
 CELL_ROWS = 1000  # rows aimed at in a cell
 CENTRES = 1024  # centroids of each level at most; with both there are cells for 10^9 rows
-TARGET = 0.985  # share of the sample's neighbours that the probed cells must hold
+TARGET = 0.97  # share of the sample's neighbours that the probed cells must hold
+NEAR_TARGET = 0.998  # the same where only neighbours from a least cosine on are asked for
+ENOUGH = 200  # neighbours in the sample that are enough to measure it; with fewer of that cosine, all are taken
 ASKED = 1000  # rows of the sample that measure it
 MOST_PROBES = 256
 BLOCK = 4096  # rows of a cell that one task holds on either side
@@ -155,17 +157,21 @@ class Cells:
             out[i] = top[i][best // len(self.second)] * len(self.second) + best % len(self.second)
         return out
 
-    def measure(self, sample: np.ndarray, k: int, target: float) -> int:
+    def measure(self, sample: np.ndarray, k: int, least: float) -> int:
         """The fewest probes that hold the target share of the neighbours inside the sample."""
         asked = sample[: min(ASKED, len(sample))]
         sims = asked @ sample.T
         sims[np.arange(len(asked)), np.arange(len(asked))] = -2
         near = np.argpartition(-sims, min(k, len(sample) - 1) - 1, axis=1)[:, :k] if len(sample) > 1 else np.zeros((len(asked), 0), np.int64)
+        close = np.take_along_axis(sims, near, axis=1) >= least
+        target = NEAR_TARGET
+        if least <= -1 or close.sum() < ENOUGH:
+            close, target = np.ones_like(close), TARGET
         most = min(MOST_PROBES, len(self))
         order, own = self.nearest(asked, most), self.nearest(sample, 1)[:, 0]
-        place = (order[:, None, :] == own[near][:, :, None]).argmax(axis=2) if near.size else np.zeros(0)
-        met = (order[:, None, :] == own[near][:, :, None]).any(axis=2) if near.size else np.zeros(0, bool)
-        share = np.array([(met & (place < n)).mean() if met.size else 1.0 for n in range(1, most + 1)])
+        row, col = np.nonzero(close)
+        same = order[row] == own[near[row, col]][:, None]
+        share = same.sum(axis=0).cumsum() / max(1, len(row)) if len(row) else np.ones(most)
         self.probes = int(np.argmax(share >= target)) + 1 if (share >= target).any() else most
         return self.probes
 
@@ -188,7 +194,7 @@ def _class_neighbours(classes: DataFrame, k: int, least: float) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("vector").toPandas()["vector"]
     unit = _unit(sample) if n else np.zeros((1, DIM))
     cells = Cells(unit, max(1, n // CELL_ROWS))
-    probes = cells.measure(unit, k, TARGET)
+    probes = cells.measure(unit, k, least)
 
     def place(batches):
         for p in batches:
