@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from quernel.llm import docpairs, mixing, near_dup, origin, residue, secrets, splitting, syntax, tokens, vector_knn
 from quernel.session import table
 
@@ -72,6 +75,27 @@ def p5_pieces(spark, sf_dir):
     ).distinct()
 
 
+@query(
+    "SELECT DISTINCT c.config_id, k.id AS chunk_id, sha256(k.code) AS hash, true AS fits, true AS overlaps FROM chunks k JOIN chunk_config c ON strlen(k.code) > c.max_chunk_size"
+)
+def p5_joined(spark, sf_dir):
+    """The pieces of every text put together again without their overlaps; whether all fit the size, and whether each shares
+    with the one before what the row of ``chunk_config`` asks for, or up to three bytes less to keep a character whole."""
+    config = table(spark, sf_dir, "chunk_config")
+    pieces = splitting.split_oversized(table(spark, sf_dir, "chunks"), config, with_text=True).distinct()
+    # the pieces of one text; a text is one row, so its pieces fit where it did
+    rows = pieces.groupBy("config_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "start_byte", "end_byte", "piece"))).alias("p"))
+    rows = rows.join(config.select("config_id", "max_chunk_size", "overlap").distinct(), "config_id")
+    end = lambda i: F.when(i > 0, F.col("p")[i - 1]["end_byte"]).otherwise(F.lit(0))
+    fresh = F.transform("p", lambda x, i: F.substring(x["piece"].cast("binary"), end(i) - x["start_byte"] + 1, F.octet_length(x["piece"])).cast("string"))
+    shared = F.transform("p", lambda x, i: end(i) - x["start_byte"])
+    least = F.least(F.coalesce("overlap", F.lit(0)), F.col("max_chunk_size") - 4)
+    return rows.select(
+        "config_id", "chunk_id", F.sha2(F.array_join(fresh, ""), 256).alias("hash"), F.forall("p", lambda x: F.octet_length(x["piece"]) <= F.col("max_chunk_size")).alias("fits"),
+        F.forall(F.slice(shared, 2, F.greatest(F.size(shared) - 1, F.lit(1))), lambda n: (n <= least) & (n >= least - 3)).alias("overlaps"),
+    )
+
+
 @query(P7_SQL)
 def p7_found(spark, sf_dir):
     return vector_knn.similar_vectors(table(spark, sf_dir, "vector_points"))
@@ -107,6 +131,21 @@ def p9_report(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+@query(
+    "WITH h AS (SELECT DISTINCT lower(trim(source)) AS source FROM documents WHERE text <> ''), t AS (SELECT DISTINCT lower(trim(source)) AS source, target_share, max_repeats FROM mix_targets), "
+    "o AS (SELECT source, target_share, CASE WHEN max_repeats > 0 AND source IN (SELECT source FROM h) THEN target_share ELSE 0 END AS here FROM t) "
+    "SELECT source, round(target_share, 6) AS target_share, here > 0 AS present, true AS met FROM o"
+)
+def p9_shares(spark, sf_dir):
+    """Whether every listed source has its share of the mixture that exists, within a hundredth."""
+    rows = mixing.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    present = (F.col("available_tokens") > 0) & (F.col("max_repeats") > 0)
+    whole = F.sum(F.when(present, F.col("target_share"))).over(Window.partitionBy(F.lit(1)))  # one row a listed source
+    wanted = F.when(present, F.col("target_share") / whole).otherwise(F.lit(0.0))
+    met = F.abs(F.col("actual_share") - wanted) < 0.01
+    return rows.select("source", F.round("target_share", 6).alias("target_share"), present.alias("present"), met.alias("met"))
+
+
 @query()
 def p10_found(spark, sf_dir):
     return residue.residue_documents(table(spark, sf_dir, "documents"))

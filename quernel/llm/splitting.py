@@ -100,16 +100,17 @@ def cut_spans(data: bytes, limit: int, overlap: int) -> list[tuple[int, int]]:
         if most >= size:
             return [*spans, (start, size)]
         cut = 0
-        a, b = np.searchsorted(ends, done, "right"), np.searchsorted(ends, most, "right")
+        low = max(done, start + overlap)  # a piece is longer than what it shares with the next
+        a, b = np.searchsorted(ends, low, "right"), np.searchsorted(ends, most, "right")
         if b > a:  # the deepest valley of the whole window, of equal ones the last
             best = depth[a:b]
             cut = int(ends[a + len(best) - 1 - int(np.argmax(best[::-1]))])
         else:
             k = most
-            while k > done + 1 and data[k - 1] not in _SPACE:
+            while k > low + 1 and data[k - 1] not in _SPACE:
                 k -= 1
-            cut = k if k > max(done + 1, start + limit // 4) else whole(most, done)
-            if cut <= done:  # no character ends here: not valid UTF-8
+            cut = k if k > max(low + 1, start + limit // 4) else whole(most, low)
+            if cut <= low:  # no character ends here: not valid UTF-8
                 cut = most
         spans.append((start, cut))
         done = cut

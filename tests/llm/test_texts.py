@@ -137,3 +137,11 @@ def test_schedules_of_sources(spark):
     assert late["a"] > late["c"] > late["b"] and early["a"] < early["c"] < early["b"]
     shares = {r.source: r.actual_share for r in mixing.report(docs, targets, schedules={"a": 0.6}).collect()}
     assert all(abs(shares[s] - t) < 0.02 for s, t in (("a", 0.4), ("b", 0.3), ("c", 0.3)))
+
+
+def test_short_first_lines_are_shared_in_full():
+    data = b"# a\n\n# b\n\n" + b"".join(b"row %d of it has some words here\n" % i for i in range(60))
+    for limit, overlap in ((200, 80), (512, 64), (90, 80)):
+        spans = splitting.cut_spans(data, limit, overlap)
+        assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(0 < b - a <= limit for a, b in spans)
+        assert all(z - b == overlap and b > a for (a, z), (b, _) in zip(spans, spans[1:]))
