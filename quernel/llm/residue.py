@@ -323,12 +323,14 @@ def residue_reasons(documents: DataFrame, all_contexts: bool = True) -> DataFram
     texts = stage(texts, "residue-marked")
     places = texts.select("key", F.explode("places").alias("p")).select("key", "p.*")
 
-    frames = places.groupBy("frame").agg(F.approx_count_distinct("filling", 0.02).alias("n")).where(F.col("n") > FILLINGS).select("frame", F.lit(True).alias("framed"))
+    # a place that stands alone in its line has nothing to be aligned by
+    frames = places.where(F.regexp_replace("frame", "[□ ]+", "") != "").groupBy("frame").agg(F.approx_count_distinct("filling", 0.02).alias("n")).where(F.col("n") > FILLINGS).select("frame", F.lit(True).alias("framed"))
     known = places.where("sure AND name <> ''").groupBy("name").agg(F.approx_count_distinct("key", 0.02).alias("n")).where(F.col("n") >= NAMES).select("name", F.lit(True).alias("named"))
     places = stage(places.join(frames, "frame", "left").join(known, "name", "left").select("key", "sure", "left", "right", F.coalesce("framed", F.lit(False)).alias("framed"), F.coalesce("named", F.lit(False)).alias("named")), "residue-places")
 
     # which of a fixed number of hashes are wanted: the lines are only searched for those, and the join settles it
     open_ = places if all_contexts else places.where("NOT (sure OR framed OR named)")
+    open_ = open_.where("NOT (left = '^ ^' AND right = '$ $')")
     sides = open_.select("key", F.concat_ws(" □ ", "left", "right").alias("v")).distinct()
     half = F.array(F.struct(F.lit(1).alias("bit"), F.col("left").alias("x")), F.struct(F.lit(2).alias("bit"), F.col("right").alias("x")))
     wanted = open_.select(F.explode(half).alias("h")).select("h.bit", F.crc32("h.x").bitwiseAND(SLOTS - 1).alias("slot"))
