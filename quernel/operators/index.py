@@ -37,6 +37,7 @@ class IndexStats:
     symbols_extracted: int = 0
     chunks_created: int = 0
     embeddings_generated: int = 0
+    fallbacks: int = 0  # of them, vectors that do not come from the embedder
     duration: float = 0.0
 
 
@@ -60,10 +61,10 @@ def chunks(files: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
 
 
 def points(chunk_rows: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """Chunks with vectors. ``seq`` orders them by file and line within their batch."""
+    """Chunks with vectors and the model that made each. ``seq`` orders them by file and line within their batch."""
     text = chunking.embedding_text("language", "signature", "doc", "code")
     rows = embedding.embed(chunk_rows.withColumn("__text", text), "__text", config.embedder, config.dim, config.model)
-    return rows.drop("__text", "model").withColumn("seq", F.monotonically_increasing_id())
+    return rows.drop("__text").withColumn("seq", F.monotonically_increasing_id())
 
 
 class Indexer:
@@ -71,8 +72,8 @@ class Indexer:
         self.store, self.state, self.config = store, state, config
 
     def _stats(self, files: DataFrame, made: DataFrame, began: float) -> IndexStats:
-        row = made.agg(F.count("*").alias("chunks"), F.count_if((F.col("kind") != "document") & ~F.col("kind").endswith("_doc")).alias("symbols"), F.count_distinct("file").alias("files")).first()
-        return IndexStats(row.files, row.symbols, row.chunks, row.chunks, time.time() - began)
+        row = made.agg(F.count("*").alias("chunks"), F.count_if((F.col("kind") != "document") & ~F.col("kind").endswith("_doc")).alias("symbols"), F.count_distinct("file").alias("files"), F.count_if(F.col("model").endswith("-fallback")).alias("fallbacks")).first()
+        return IndexStats(row.files, row.symbols, row.chunks, row.chunks, row.fallbacks, time.time() - began)
 
     def full(self, files: DataFrame, repo: str, commit: str) -> IndexStats:
         """Index a whole snapshot; the repository's earlier rows are replaced."""
